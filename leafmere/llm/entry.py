@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmere.llm import bpe, packing, ranking, splitting
+from leafmere.llm import bpe, neighbours, packing, ranking, splitting
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,19 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "ns", "doc_key", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"), F.col("place").cast("bigint").alias("place"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.usable_vectors(table(spark, sf_dir, "vec_entry"), table(spark, sf_dir, "vec_index_state"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(vectors(spark, sf_dir), 0.90).select("vec_id_a", "vec_id_b")
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = vectors(spark, sf_dir)
+    return neighbours.nearest(usable, usable.where("vec_id % 100 = 0")).select("vec_id", "rank", "neighbour", F.round("cosine", 5).alias("cosine"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_items(splitting.pieces_of_files(table(spark, sf_dir, "vault_work_item"), table(spark, sf_dir, "vault_index_result")))
 
@@ -42,7 +55,7 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_ranking, p5_found, p5_pieces, p6_ids, p7_found, p7_packing)}
+    return {f.__name__: f for f in (p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_pieces, p6_ids, p7_found, p7_packing)}
 
 
 _ENTRIES = """
@@ -72,6 +85,16 @@ select query_id, ns, doc_key, round(median_rank, 6) as median_rank, round(mean_r
 from items
 """
 
+_P4_FOUND = """
+with models as (select ns, field_name, min(lower(trim(model_id))) as model from vec_index_state
+  where lower(trim(index_status)) = 'current' and trim(model_id) <> '' group by all),
+usable as (select distinct vec_id, model, vec from vec_entry join models using (ns, field_name)
+  where vec is not null and len(list_filter(vec, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vec, lambda x: x <> 0)) > 0)
+select a.vec_id as vec_id_a, b.vec_id as vec_id_b from usable a join usable b
+  on a.model = b.model and len(a.vec) = len(b.vec) and a.vec_id < b.vec_id
+where list_cosine_similarity(a.vec::double[], b.vec::double[]) >= 0.90
+"""
+
 # Words of UTF-16LE files are counted over the hexadecimal units, those of the others over the bytes, since white space is ASCII.
 _P5_FOUND = r"""
 with charsets as (select sha256, min(case when replace(lower(coalesce(charset, 'utf-8')), '-', '') = 'utf8' then 'utf-8' else lower(charset) end) as charset
@@ -89,4 +112,4 @@ select distinct item_id from words where n > chunk_size
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2_FOUND, "p2_ranking": _P2_RANKING, "p5_found": _P5_FOUND}
+    return {"p2_found": _P2_FOUND, "p2_ranking": _P2_RANKING, "p4_found": _P4_FOUND, "p5_found": _P5_FOUND}
