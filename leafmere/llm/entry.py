@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmere.llm import bpe, neighbours, packing, ranking, splitting
+from leafmere.llm import bpe, markup, neighbours, packing, ranking, reading, splitting
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.marked_files(table(spark, sf_dir, "vault_index_result"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = markup.distinct_texts(table(spark, sf_dir, "vault_index_result"))
+    return texts.select("sha256", markup.cleaned(F.col("extracted_text")).alias("clean_text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ruled_queries(table(spark, sf_dir, "search_hit"))
 
@@ -54,8 +63,21 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("level = 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.with_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_sample"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and words of each level; null for those without one."""
+    return p8_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_pieces, p6_ids, p7_found, p7_packing)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_pieces, p6_ids, p7_found, p7_packing, p8_found, p8_levels, p8_profile)}
 
 
 _ENTRIES = """

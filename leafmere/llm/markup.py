@@ -36,7 +36,9 @@ ATTRIBUTE = r"""\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=]+)"
 TAG = rf"</?(?:{TAGS})(?:{ATTRIBUTE})*\s*/?>"
 HEAD_TEX = r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|title)\*?"
 # A command needs a backslash that no path leads up to, and an argument, an optional one or a known name.
-TEX_COMMAND = r"(?<![\w:\\/])\\(?:[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|(?:item|maketitle|tableofcontents|hline|centering|noindent|newpage|bigskip|medskip|par|TeX|LaTeX|ldots)\b)"
+# Known commands may follow a word directly.
+TEX_NOTE = r"\\(?:cite\w*|ref|eqref|pageref|label|footnote|emph|text(?:bf|it|tt|sc|sf|rm)|underline|url|href)\*?(?:\[[^\]\n]*\])?\{"
+TEX_COMMAND = rf"(?<![:\\/]){TEX_NOTE}|(?<![\w:\\/])\\(?:[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|(?:item|maketitle|tableofcontents|hline|centering|noindent|newpage|bigskip|medskip|par|TeX|LaTeX|ldots)\b)"
 MATH = r"(?<![\w$\\])\$(?=[^\s$])(?=[^$\n]*[\\^_={}+<>]|[A-Za-z]\$)[^$\n]*[^\s$\\]\$(?![\w$])"
 
 #: family and pattern of each sign.
@@ -305,7 +307,7 @@ def plain_inline(line: str, tex: bool) -> str:
     """A line without inline signs."""
     if not SPECIAL.search(line):
         return line
-    line = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)|\[([^\[\]\n]+)\]\([^()\n]*\)", lambda m: m[1] or m[2] or "", line)
+    line = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)|\[([^\[\]\n]+)\]\([^()\n]*\)", lambda m: m[2] or "", line)
     line = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "", line, flags=re.I)
     line = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]", r"\1", line)
     line = re.sub(r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", r"\1", line)
@@ -316,10 +318,10 @@ def plain_inline(line: str, tex: bool) -> str:
     line = SIGNS["tick"][1].sub(lambda m: m[0].strip("`"), line)
     line = SIGNS["wiki_quote"][1].sub(lambda m: m[0].strip("'"), line)
     if tex or "\\" in line:
-        line = re.sub(r"(?<![\w:\\/])\\(?:cite\w*|ref|eqref|label|footnote|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", "", line)
+        line = re.sub(r"(?<![:\\/])\\(?:cite\w*|ref|eqref|label|footnote|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", "", line)
         line = re.sub(r"\{\\(?:it|bf|em|tt|sl|sc|rm|sf|small|large|Large)\s+([^{}]*)\}", r"\1", line)
         for _ in range(3):
-            line = re.sub(r"(?<![\w:\\/])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", line)
+            line = re.sub(r"(?<![:\\/])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", line)
     if tex:
         line = re.sub(r"(?<=\w)~(?=\w)", " ", line)
         line = re.sub(r"``([^`'\n]+)''", r'"\1"', line)
