@@ -96,10 +96,13 @@ def unit(values: list[float]) -> list[float]:
 
 
 def semantic(vectors: DataFrame, key: str, vec: str, query: list[float], candidates: DataFrame | None = None, top: int | None = 100, field: str = "vec") -> DataFrame:
-    """(key, score, {field}:cosine, rank): dot product of the unit query and the quantised vectors; others' lengths are skipped."""
+    """(key, score, {field}:cosine, rank): dot product of the unit query and the quantised vectors; others' lengths are skipped.
+
+    Scores have nine decimals, so that the order of additions never decides between equal vectors.
+    """
     q = F.array(*[F.lit(float(v)) for v in unit(query)])
     rows = vectors if candidates is None else vectors.join(candidates.select(key).distinct(), key, "left_semi")
-    scored = rows.where(F.size(vec) == len(query)).select(key, dot(q, dequantised(quantised(F.col(vec)))).alias("score"))
+    scored = rows.where(F.size(vec) == len(query)).select(key, F.round(dot(q, dequantised(quantised(F.col(vec)))), 9).alias("score"))
     best = scored.groupBy(key).agg(F.max("score").alias("score"))
     return ranked(best, key, "score", top).withColumn(f"{field}:cosine", F.col("score"))
 

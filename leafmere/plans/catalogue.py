@@ -253,7 +253,7 @@ def bm25_multifield(spark, d):
 QV = search.unit([float((i * 37) % 11 - 5) for i in range(64)])
 COS_SQL = f"""
 with sq as (select vec_id, list_transform(embedding, lambda f: greatest(0, least(255, cast(round((f::double + 1) / 2 * 255) as int))) / 255.0::double * 2 - 1) as v from embeddings where len(embedding) = 64),
-cos as (select vec_id, list_inner_product(v, {QV}::double[]) as score from sq)
+cos as (select vec_id, round(list_inner_product(v, {QV}::double[]), 9) as score from sq)
 """
 
 
@@ -263,12 +263,12 @@ def sq8_sum(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.aggregate(units, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("units"))
 
 
-@query(COS_SQL + "select vec_id, round(score, 6) as score from cos")
+@query(COS_SQL + "select vec_id, round(score, 6) + 0 as score from cos")
 def cosine_all(spark, d):
     return search.semantic(table(spark, d, "embeddings"), "vec_id", "embedding", QV, top=None).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(COS_SQL + "select vec_id, round(score, 6) as score from cos order by score desc, vec_id limit 100")
+@query(COS_SQL + "select vec_id, round(score, 6) + 0 as score from cos order by score desc, vec_id limit 100")
 def cosine_topk(spark, d):
     return search.semantic(table(spark, d, "embeddings"), "vec_id", "embedding", QV, top=100).select("vec_id", F.round("score", 6).alias("score"))
 
