@@ -72,7 +72,7 @@ def with_pieces(df: DataFrame, text: str, limit: str, overlap: str, out: str = "
     back = F.least(F.greatest(F.coalesce(F.col(overlap).cast("int"), F.lit(0)), F.lit(0)), size - 1)
     codes = df.withColumn("__codes", boundary_codes(F.col(text)))
     codes = codes.withColumn(words, F.length("__codes"))
-    ends = F.when(F.col(words) == 0, F.array().cast("array<int>")).when(size.isNull() | (F.col(words) <= size), F.array(F.col(words))).otherwise(ends_of_pieces(F.col("__codes"), size, back))
+    ends = F.when(F.col(words).isNull(), F.lit(None)).when(F.col(words) == 0, F.array().cast("array<int>")).when(size.isNull() | (F.col(words) <= size), F.array(F.col(words))).otherwise(ends_of_pieces(F.col("__codes"), size, back))
     codes = codes.withColumn("__ends", ends).withColumn("__units", F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
 
     def piece(end: Column, i: Column) -> Column:
