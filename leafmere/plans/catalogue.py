@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from leafmere.functions import keys
 from leafmere.functions.extract import extracted, html_text, markdown_text
 from leafmere.functions.text import STOP_WORDS, TOKEN, language, stems, tokens
-from leafmere.operators import blobs, change_feed, chunks, log, schema, search
+from leafmere.operators import blobs, change_feed, chunks, indexes, log, schema, search
+from leafmere.operators.cutting import new_folder
 from leafmere.operators.filters import Field, Filter, parse_filter
 from leafmere.operators.query import Collection
 from leafmere.operators.running import running
 from leafmere.sources import ndjson
 from leafmere.sources.tables import verified
+from leafmere.streaming import live
 
 NOW_MS = 1_775_001_600_000
 AS_OF = 1_768_000_000_000 << 16
@@ -563,6 +565,76 @@ def status_counts(spark, d):
     return blobs.indexing_states(have, states)
 
 
+WORD_SHARE = "list_transform(['manifest', 'kitchen', 'archive', 'weather'], lambda t: len(list_filter(words, lambda w: lower(w) = t)) + case when t = 'weather' then 1 else 0 end)"
+BLOB_COS = f""", raw as (select sha256, {WORD_SHARE}::double[] as v from chunks), unit_v as (select sha256, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as v from raw),
+sq as (select sha256, list_transform(v, lambda f: greatest(0, least(255, cast(round((f + 1) / 2 * 255) as int))) / 255.0::double * 2 - 1) as v from unit_v),
+near as (select sha256, max(round(list_inner_product(v, {search.unit([1.0, 2.0, 0.0, 0.0])}::double[]), 9)) as score from sq group by all)
+"""
+
+
+def chunk_vectors(chunked: DataFrame) -> DataFrame:
+    """A small bag-of-words vector of each chunk, in place of a model's embedding."""
+    count = lambda t, plus: F.size(F.filter("words", lambda w: F.lower(w) == t)) + plus
+    raw = F.array(*[count(t, 1 if t == "weather" else 0).cast("double") for t in ("manifest", "kitchen", "archive", "weather")])
+    vectors = chunked.select("sha256", raw.alias("v"))
+    return vectors.select("sha256", F.transform("v", lambda x: x / F.sqrt(search.dot(F.col("v"), F.col("v")))).alias("vec"))
+
+
+@query(CHUNKS + BLOB_COS + "select sha256, round(score, 6) as score from near")
+def blob_vector_max(spark, d):
+    vectors = chunk_vectors(chunks.chunks(files_of(spark, d), "sha256", "extracted_text"))
+    return chunks.blob_cosine(vectors, "sha256", "vec", [1.0, 2.0, 0.0, 0.0]).select("sha256", F.round("score", 6).alias("score"))
+
+
+@query(BLOB_BM25 + BLOB_COS + """, legs as (select sha256, row_number() over (order by round(score, 9) desc, sha256) as r from scores union all select sha256, row_number() over (order by score desc, sha256) as r from near),
+fused as (select sha256, sum(1.0::double / (60 + r)) as score from legs where r <= 100 group by sha256), refs as (select distinct item_id as _id, sha256 from vault_work_item)
+select _id, sha256, round(score, 6) as score from refs join fused using (sha256)""")
+def blob_rrf(spark, d):
+    chunked = chunks.chunks(files_of(spark, d), "sha256", "extracted_text")
+    hits = chunks.search_blobs(chunked, blobs.reference_rows(items_of(spark, d)), "manifest kitchen", chunk_vectors(chunked), [1.0, 2.0, 0.0, 0.0], limit=None)
+    return hits.select("_id", "sha256", F.round("score", 6).alias("score"))
+
+
+@query(LOG + "select ns, _id, hlc, op from newest")
+def streaming_lww(spark, d):
+    """The newest version of each record, kept by a streaming query over the log's files."""
+    folder = new_folder(spark, "streaming-lww")
+    log_of(spark, d).write.parquet(f"{folder}/log")
+    rows = live.log_stream(spark, f"{folder}/log", "ns string, _id string, hlc bigint, op string, device_id string", files_a_batch=64)
+    live.current_table(rows, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    state = spark.read.parquet(f"{folder}/state")
+    return state.join(state.agg(F.max("batch").alias("batch")), "batch").select("ns", "_id", "hlc", "op")
+
+
+@query("select ns, count(distinct kv_key) as n from kv_store group by ns")
+def watch_stream(spark, d):
+    """A live count by namespace, evaluated again after each batch of a log; the last result is given."""
+    folder = new_folder(spark, "watch")
+    rows = table(spark, d, "kv_store").select(F.lit("all").alias("ns"), F.concat_ws("/", "ns", "kv_key").alias("_id"), "hlc", F.lit("put").alias("op"), "device_id")
+    rows.write.parquet(f"{folder}/log")
+    stream = live.log_stream(spark, f"{folder}/log", rows.schema)
+    count = lambda docs: docs.groupBy(F.split_part("_id", F.lit("/"), F.lit(1)).alias("ns")).agg(F.count("*").alias("n"))
+    live.watch(stream, f"{folder}/log", "all", count, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("select distinct ns || '/' || kv_key as _id, json_extract_string(body, '$.title') as title from kv_store where body is not null")
+def ndjson_roundtrip(spark, d):
+    """The store's documents exported as NDJSON and read again."""
+    folder = new_folder(spark, "ndjson")
+    ndjson.export(docs_of(table(spark, d, "kv_store").where("body is not null")).select("_id", "doc"), folder)
+    return ndjson.read_documents(spark, folder).select("_id", F.try_variant_get("doc", "$.title", "string").alias("title"))
+
+
+@query(score_sql(["manifest", "archive", "teacher"]) + " select doc_id, round(score, 6) as score from scored")
+def indexed_search(spark, d):
+    """BM25 from a stored index, built on its first use and found current on the second."""
+    docs = table(spark, d, "documents")
+    index = indexes.text_index(spark, new_folder(spark, "index"), "text", "doc_id")
+    index.table(docs, 1)
+    return indexes.scores_from_postings(index.table(docs, 1), "manifest archive teacher", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def html_extraction(spark, d):
     return table(spark, d, "vault_work_item").where("lower(media_type) like 'text/html%'").select("item_id", html_text(F.make_valid_utf8(F.col("blob_bytes").cast("string"))).alias("text"))

@@ -1,4 +1,4 @@
-"""Rows as text: json, compact, ndjson, table, csv and line. For results that are shown, not for stored ones.
+"""Rows as text: json, compact, ndjson, table, csv, line and ids (the first column). For results that are shown, not for stored ones.
 
 Columns of table, csv and line are the union of the keys of the first ``sampled`` documents, in order of appearance;
 nested values are JSON and null is empty.
@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 
-MODES = ("json", "compact", "ndjson", "table", "csv", "line")
+MODES = ("json", "compact", "ndjson", "table", "csv", "line", "ids")
 
 
 def plain(value: Any) -> Any:
@@ -50,6 +50,8 @@ def formatted(documents: Iterable[dict], mode: str = "json", sampled: int = 100,
         return dumps(docs, separators=(",", ":"))
     if mode == "ndjson":
         return "\n".join(dumps(d, separators=(",", ":")) for d in docs)
+    if mode == "ids":
+        return "\n".join(cell(next(iter(d.values()), None)) for d in docs)
     columns = list(dict.fromkeys(k for d in docs[:sampled] for k in d))
     rows = [[null if d.get(c) is None else cell(d[c]) for c in columns] for d in docs]
     if mode == "csv":

@@ -58,3 +58,19 @@ def with_event_time(stream: DataFrame, late: str = "60 seconds") -> DataFrame:
 def status_counts(stream: DataFrame, state: str = "state") -> DataFrame:
     """(state, n), for complete mode."""
     return stream.groupBy(state).agg(F.count("*").alias("n"))
+
+
+def write_events(stream: DataFrame, emit: Callable[[list[str], int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Call ``emit(namespaces, batch)`` with the namespaces that each batch touched."""
+    def note(batch: DataFrame, number: int) -> None:
+        emit(sorted(r[0] for r in batch.select("ns").where("ns is not null").distinct().collect()), number)
+
+    return stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep ``path`` as a table of the newest version of each record: every batch writes a new folder of the whole state."""
+    def keep(state: DataFrame, number: int) -> None:
+        state.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return current(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from leafmere.functions import extract, hashing, keys
 from leafmere.functions.text import language, stem
-from leafmere.operators import blobs, chunks, log, schema, search
+from leafmere.operators import blobs, chunks, indexes, log, schema, search
 from leafmere.operators.filters import Field
 from leafmere.operators.query import Collection
 from leafmere.operators.running import running
 from leafmere.operators.writes import Writer
-from leafmere.sources import formats, ndjson, packages
+from leafmere.sources import folder, formats, ndjson, packages
 from leafmere.streaming import live
 
 LOG = "ns string, _id string, hlc long, op string, device_id string, v int"
@@ -225,6 +225,35 @@ def test_streams(spark, tmp_path):
     assert {(r._id, r.hlc, r.op) for r in spark.table("cur").collect()} == {("k", 7, "delete"), ("q", 6, "put"), ("z", 8, "put")}
 
 
+def test_write_events_and_state_table(spark, tmp_path):
+    shape, seen = "ns string, _id string, hlc long, op string, device_id string", []
+    spark.createDataFrame([("a", "k", 5, "put", "x"), ("b", "q", 6, "put", "x")], shape).write.parquet(str(tmp_path / "log"))
+    stream = lambda: live.log_stream(spark, str(tmp_path / "log"), shape)
+    live.write_events(stream(), lambda names, n: seen.append(names), str(tmp_path / "c")).awaitTermination()
+    live.current_table(stream(), str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
+    assert seen == [["a", "b"]] and spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_indexes_are_built_on_use_and_go_stale(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "red fox"), ("d2", "fox")], "_id string, t string")
+    index = indexes.text_index(spark, str(tmp_path), "t")
+    assert index.state().status == "undefined" and index.table(docs, 7).count() == 3 and index.state(7).status == "current" and index.state(8).status == "stale"
+    plain = {r._id: round(r.score, 9) for r in search.field_scores(docs, "_id", "t", "red fox").collect()}
+    assert {r._id: round(r.score, 9) for r in indexes.scores_from_postings(index.table(docs, 7), "red fox").collect()} == plain
+    embed = lambda c: F.array(F.lit(1.0), F.lit(0.0))
+    one = indexes.vector_index(spark, str(tmp_path), "v", embed, "m1")
+    docs = docs.withColumnRenamed("t", "v")
+    assert one.table(docs, 1).first().units == [255, 128]
+    assert indexes.vector_index(spark, str(tmp_path), "v", embed, "m2").state(1).status == "stale"
+
+
+def test_shared_folder(spark, tmp_path):
+    f = folder.Folder(spark, str(tmp_path / "s"))
+    first = f.write("a", b"1")
+    assert f.read("a") == b"1" and f.list() == ["a"] and not f.swap("a", b"2", "other") and f.swap("a", b"2", first) and f.read("a") == b"2" and f.read("z") is None
+    assert f.swap("b", b"x", None) and not f.swap("b", b"y", None) and f.delete("b") and f.list() == ["a"]
+
+
 def test_write_pipeline(spark, tmp_path):
     docs = spark.createDataFrame([("k", 1)], "_id string, v int")
     writer = Writer(str(tmp_path / "log"), augmentors=[("index", lambda d: d.select("v", "_id"))], schema={"properties": {"v": {"type": "integer", "maximum": 5}}})
