@@ -113,3 +113,56 @@ def valid(df: DataFrame, schema: dict) -> DataFrame:
 
 def reserved_fields(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_") and c != "_id"]
+
+
+def variant_violations(schema: dict, v: Column, at: str = "$") -> Column:
+    """Violations of a VARIANT document. A JSON null is of type null, which a missing field is not."""
+    unknown = set(schema) - KEYWORDS
+    if unknown:
+        raise ValueError(f"unknown keywords {sorted(unknown)}")
+    shape = F.schema_of_variant(v)
+    number = shape.isin("DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
+    value = F.try_variant_get(v, "$", "double")
+    is_type = {"integer": (shape == "BIGINT") | (number & (value == F.floor(value))), "number": (shape == "BIGINT") | number, "string": shape == "STRING", "boolean": shape == "BOOLEAN", "array": shape.startswith("ARRAY"), "object": shape.startswith("OBJECT"), "null": shape == "VOID"}
+    checks: list[Column] = []
+
+    def add(broken: Column, message: str, path: str = at) -> None:
+        checks.append(F.when(broken, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))))
+
+    wanted = schema.get("type")
+    allowed = [wanted] if isinstance(wanted, str) else wanted or []
+    if allowed:
+        add(v.isNotNull() & ~reduce(lambda a, b: a | b, [is_type[t] for t in allowed]), f"must be of type {'/'.join(allowed)}")
+    text = F.when(is_type["string"], F.try_variant_get(v, "$", "string"))
+    amount = F.when(is_type["number"], value)
+    truth = F.when(is_type["boolean"], F.try_variant_get(v, "$", "boolean"))
+    items = F.when(is_type["array"], F.try_variant_get(v, "$", "array<variant>"))
+    if "enum" in schema:
+        same = [text == x if isinstance(x, str) else truth == x if isinstance(x, bool) else is_type["null"] if x is None else amount == x for x in schema["enum"]]
+        add(v.isNotNull() & ~reduce(lambda a, b: a | b, [F.coalesce(s, F.lit(False)) for s in same], F.lit(False)), "must be one of the allowed values")
+    for key, broken, words in (("minimum", lambda x: amount < x, "must be at least"), ("maximum", lambda x: amount > x, "must be at most"), ("exclusiveMinimum", lambda x: amount <= x, "must be above"), ("exclusiveMaximum", lambda x: amount >= x, "must be below")):
+        if key in schema:
+            add(broken(F.lit(schema[key])), f"{words} {schema[key]}")
+    for key, broken, words in (("minLength", lambda x: F.length(text) < x, "must have at least {} characters"), ("maxLength", lambda x: F.length(text) > x, "must have at most {} characters"), ("pattern", lambda x: ~text.rlike(x), "must match {}"),
+                               ("minItems", lambda x: F.size(items) < x, "must have at least {} items"), ("maxItems", lambda x: F.size(items) > x, "must have at most {} items")):
+        if key in schema:
+            add(broken(schema[key]), words.format(schema[key]))
+    if schema.get("format") in FORMATS:
+        add(~text.rlike(FORMATS[schema["format"]]), f"must be a valid {schema['format']}")
+    field = lambda n: F.try_variant_get(v, f'$["{n}"]', "variant")
+    for name in schema.get("required", []):
+        add(is_type["object"] & field(name).isNull(), "is required", f"{at}.{name}")
+    out = F.filter(F.array(*checks), lambda x: x.isNotNull()).cast(VIOLATION) if checks else F.array().cast(VIOLATION)
+    properties = schema.get("properties", {})
+    for name, rule in properties.items():
+        out = F.concat(out, variant_violations(rule, field(name), f"{at}.{name}"))
+    if schema.get("additionalProperties") is False:
+        names = F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+        more = F.filter(names, lambda n: ~n.isin([*properties, "_id"]))
+        out = F.concat(out, F.when(is_type["object"], F.transform(more, lambda n: F.struct(F.concat(F.lit(f"{at}."), n).alias("path"), F.lit("is not allowed").alias("message")))).otherwise(F.array().cast(VIOLATION)))
+    if "items" in schema:
+        def of_item(x: Column, i: Column) -> Column:
+            return F.transform(variant_violations(schema["items"], x, ""), lambda p: F.struct(F.concat(F.lit(f"{at}["), i.cast("string"), F.lit("]"), p["path"]).alias("path"), p["message"].alias("message")))
+
+        out = F.concat(out, F.coalesce(F.flatten(F.transform(items, of_item)), F.array().cast(VIOLATION)))
+    return out
