@@ -71,13 +71,8 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.with_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_sample"))
 
 
-def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and words of each level; null for those without one."""
-    return p8_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_pieces, p6_ids, p7_found, p7_packing, p8_found, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_pieces, p6_ids, p7_found, p7_packing, p8_found, p8_levels)}
 
 
 _ENTRIES = """

@@ -272,3 +272,8 @@ def graded(text: Column, grader: Grader) -> Column:
 def with_levels(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, surprisal..., difficulty, level) of every document."""
     return documents.select(key, graded(F.col(text), fitted(sample)).alias("g")).select(key, "g.*")
+
+
+def profile(levels: DataFrame) -> DataFrame:
+    """(level, n_docs, n_words) of with_levels' result; level null for documents without one."""
+    return levels.groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
