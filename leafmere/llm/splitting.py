@@ -27,19 +27,22 @@ UNIT = rf"^[{BLANKS}]*[^{BLANKS}]+[{BLANKS}]*|[^{BLANKS}]+[{BLANKS}]*"
 
 
 def boundary_codes(text: Column) -> Column:
-    """One sign a word of ``text``: the strength of the boundary after it."""
-    # A word is tried at its first sign only, so a word of any length takes linear time.
-    word = rf"(?<![^{BLANKS}\x01-\x06])[^{BLANKS}\x01-\x06]++"
+    """One sign a word of ``text``: the strength of the boundary after it.
+
+    White space between words turns into signs, the strongest first, and the words then vanish; each pass is linear.
+    """
     line = rf"[ \t]*+[\r\n][{BLANKS}]*+"
-    out = F.translate(F.ltrim(text), CODES, "______")
-    out = F.regexp_replace(out, rf"^[{BLANKS}]+", "")
+    body = F.trim(F.translate(text, CODES, "______"), F.lit(" \t\n\r"))
+    out = F.when(body == "", body).otherwise(F.concat(body, F.lit(WORD)))
     for pattern, code in (
-        (rf"{word}{line}(?={HEADING_START})", HEADING),
-        (rf"{word}[ \t]*+(?:\r\n|\n|\r)[ \t]*+[\r\n][{BLANKS}]*+", PARAGRAPH),
-        (rf"{word}{line}(?={ITEM_START})", ITEM),
-        (rf"{word}(?<=[.!?…。！？][\"')\]}}»”’*_]{{0,4}}(?:</[a-zA-Z0-9]{{1,9}}>)?)[{BLANKS}]*+", SENTENCE),
-        (rf"{word}{line}", LINE),
-        (rf"{word}[{BLANKS}]*+", WORD),
+        (rf"{line}(?={HEADING_START})", HEADING),
+        (rf"[ \t]*+(?:\r\n|\n|\r)[ \t]*+[\r\n][{BLANKS}]*+", PARAGRAPH),
+        (rf"{line}(?={ITEM_START})", ITEM),
+        # The sign before the white space is looked at before the longer way back is.
+        (rf"(?=[{BLANKS}])(?<=[.!?…。！？\"')\]}}»”’*_>])[{BLANKS}]++(?<=[.!?…。！？][\"')\]}}»”’*_]{{0,4}}(?:</[a-zA-Z0-9]{{1,9}}>)?[{BLANKS}]{{1,9}})", SENTENCE),
+        (line, LINE),
+        (rf"[{BLANKS}]++", WORD),
+        (r"[^\x01-\x06]++", ""),
     ):
         out = F.regexp_replace(out, pattern, code)
     return out
@@ -73,11 +76,13 @@ def with_pieces(df: DataFrame, text: str, limit: str, overlap: str, out: str = "
     codes = df.withColumn("__codes", boundary_codes(F.col(text)))
     codes = codes.withColumn(words, F.length("__codes"))
     ends = F.when(F.col(words).isNull(), F.lit(None)).when(F.col(words) == 0, F.array().cast("array<int>")).when(size.isNull() | (F.col(words) <= size), F.array(F.col(words))).otherwise(ends_of_pieces(F.col("__codes"), size, back))
-    codes = codes.withColumn("__ends", ends).withColumn("__units", F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
+    codes = codes.withColumn("__ends", ends)
+    # Words are only taken apart where there is more than one piece.
+    codes = codes.withColumn("__units", F.when(F.size("__ends") > 1, F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).otherwise(F.array(text)))
 
     def piece(end: Column, i: Column) -> Column:
         start = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__ends"), i - 1) - back)
-        return F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice(F.col("__units"), start + 1, end - start), "").alias("text"))
+        return F.struct(start.alias("start"), end.alias("end"), F.when(F.size("__ends") == 1, F.get("__units", F.lit(0))).otherwise(F.array_join(F.slice(F.col("__units"), start + 1, end - start), "")).alias("text"))
 
     return codes.withColumn(out, F.transform("__ends", piece)).drop("__codes", "__ends", "__units")
 
@@ -89,7 +94,7 @@ def decoded(blob: Column, charset: Column) -> Column:
     whole = F.unhex(F.regexp_replace(F.hex(blob), rf"\G({pair})|\G(?:[0-9A-F]{{4}}|[0-9A-F]{{2}}$)", "$1"))
     name = F.lower(F.trim(charset))
     text = F.when(name == "iso-8859-1", F.decode(blob, "ISO-8859-1")).when(name == "utf-16le", F.decode(whole, "UTF-16LE")).otherwise(F.make_valid_utf8(blob.cast("string")))
-    return F.regexp_replace(text, "^﻿", "")
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
 
 def file_texts(items: DataFrame, results: DataFrame) -> DataFrame:
