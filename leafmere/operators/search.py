@@ -25,8 +25,8 @@ def postings(docs: DataFrame, key: str, field: str, **terms) -> DataFrame:
 
 def corpus(docs: DataFrame, key: str, field: str, **terms) -> DataFrame:
     """One row (n, total): documents with a term or more, and terms in all. Needs no shuffle of terms."""
-    lengths = docs.where(F.length(field) > 0).select(F.size(search_terms(F.col(field), **terms)).alias("dl"))
-    return lengths.where("dl > 0").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    lengths = docs.where(F.length(field) > 0).select(F.size(search_terms(F.col(field), **terms)).cast("bigint").alias("dl"))
+    return lengths.agg(F.count_if(F.col("dl") > 0).alias("n"), F.sum("dl").alias("total"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -39,25 +39,41 @@ def bm25(tf: Column, df: Column, dl: Column, n: Column, total: Column, k1: float
 
 def query_terms(spark: SparkSession, query: str, **terms) -> DataFrame:
     """Distinct terms of a query, one row each."""
-    return spark.range(1).select(F.explode(F.array_distinct(search_terms(F.lit(query), **terms))).alias("term"))
+    return spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(search_terms(F.col("q"), **terms))).alias("term"))
 
 
 def field_scores(docs: DataFrame, key: str, field: str, query: str, candidates: DataFrame | None = None, **terms) -> DataFrame:
-    """(key, score) of the documents with a query term in the field.
+    """(key, score) of the documents with a query term in the field; ``key`` is unique.
 
     candidates restrict hits and document frequencies, while the number and lengths of documents stay the whole corpus's.
+    Terms are counted where a document is read: no term is shuffled, and one row of statistics is all that is broadcast.
+    The second pass only takes texts apart that hold a term as a part of a word or more.
     """
-    wanted = F.broadcast(query_terms(docs.sparkSession, query, **terms))
-    # Only query terms are counted, so postings never leave the task that read them.
-    words = docs.where(F.length(field) > 0).select(F.col(key), search_terms(F.col(field), **terms).alias("__words"))
-    each = words.select(key, F.size("__words").cast("bigint").alias("dl"), F.explode("__words").alias("term")).join(wanted, "term")
-    hits = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    if candidates is not None:
+    wanted = [r[0] for r in query_terms(docs.sparkSession, query, **terms).collect()]
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        words = rows.select(key, search_terms(F.col(field), **terms).alias("__words"))
+        times = lambda t: (F.size("__words") - F.size(F.array_remove("__words", t))).cast("bigint")
+        return words.select(key, F.size("__words").cast("bigint").alias("dl"), *[times(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+
+    frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
+    texts = docs.where(F.length(field) > 0)
+    # Conditions on counts would be moved below them and take every text apart twice, so they are part of the sums.
+    whole = [F.count_if(F.col("dl") > 0).alias("n"), F.sum("dl").alias("total")]
+    within = texts
+    if not terms.get("stemmed"):
+        lowered = F.lower(F.col(field))
+        within = texts.where(reduce(lambda a, b: a | b, [lowered.contains(t) for t in wanted]))
+    hits = counted(within)
+    if candidates is None:
+        stats = counted(texts).agg(*whole, *frequencies)
+    else:
         hits = hits.join(candidates.select(key).distinct(), key, "left_semi")
-    found = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(found), "term").crossJoin(F.broadcast(corpus(docs, key, field, **terms)))
-    score = bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("total"))
-    return scored.groupBy(key).agg(F.sum(score).alias("score")).where("score > 0")
+        stats = hits.agg(*frequencies).crossJoin(corpus(docs, key, field, **terms))
+    score = reduce(lambda a, b: a + b, [F.when(F.col(f"tf{i}") > 0, bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("dl"), F.col("n"), F.col("total"))).otherwise(0.0) for i in range(len(wanted))])
+    return hits.crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
 
 
 def ranked(hits: DataFrame, key: str, score: str = "score", limit: int | None = None, offset: int = 0) -> DataFrame:
