@@ -123,9 +123,9 @@ def own_features(line: str, signs: list[tuple[str, int, int]]) -> dict[str, floa
     return f
 
 
-def block_features(lines: list[str]) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
+def block_features(lines: list[str], signs: list[list[tuple[str, int, int]]] | None = None) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
     """Features of the blocks of one text, with those of their neighbours, and their signs."""
-    signs = [signs_of(x) for x in lines]
+    signs = signs if signs is not None else [signs_of(x) for x in lines]
     own = [own_features(x, s) for x, s in zip(lines, signs)]
     for i, f in enumerate(own):
         if i:
@@ -201,12 +201,12 @@ def classified(text: str) -> list[tuple[str, bool, str]]:
 
 
 def has_markup(text: str) -> bool:
-    """Whether a block of the text holds markup source; blocks without any sign cannot."""
-    lines = blocks(text)
-    if not any(SPECIAL.search(x) for x in lines):
+    """Whether a block of the text holds markup source; a text without any sign needs no features."""
+    if not SPECIAL.search(text):
         return False
-    x, signs = block_features(lines)
-    return bool(trees()[1].predict(x).any()) if any(signs) else False
+    lines = blocks(text)
+    signs = [signs_of(x) for x in lines]
+    return any(signs) and bool(trees()[1].predict(block_features(lines, signs)[0]).any())
 
 
 BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|body|caption|center|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|section|table|tbody|tfoot|thead|title|tr|ul)\b[^<>]*>", re.I)
