@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmere.functions.text import TOKEN, search_terms
-from leafmere.operators.search import K1, B, idf, query_terms, ranked, rrf, semantic
+from leafmere.operators.search import K1, B, cosine_scores, fused, idf, query_terms, ranked
 
 
 def chunk_count(words: Column, size: int = 300, overlap: int = 50) -> Column:
@@ -64,7 +64,7 @@ def best_blob(scores: DataFrame, refs: DataFrame, blob: str = "sha256", doc: str
 
 def blob_cosine(vectors: DataFrame, key: str, vec: str, query: list[float]) -> DataFrame:
     """(key, score): every blob by its chunk nearest to the query; vectors are quantised as in other searches."""
-    return semantic(vectors, key, vec, query, top=None).select(key, "score")
+    return cosine_scores(vectors, key, vec, query)
 
 
 def search_blobs(chunked: DataFrame, refs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, blob: str = "sha256", doc: str = "_id", vec: str = "vec", candidates: int = 100, limit: int | None = 10, offset: int = 0) -> DataFrame:
@@ -77,7 +77,7 @@ def search_blobs(chunked: DataFrame, refs: DataFrame, query: str, vectors: DataF
     scores = lexical_leg
     if vectors is not None and query_vector is not None:
         semantic_leg = blob_cosine(vectors, blob, vec, query_vector).join(kept, blob, "left_semi")
-        scores = rrf([ranked(lexical_leg, blob, limit=candidates), ranked(semantic_leg, blob, limit=candidates)], blob, limit=None).select(blob, "score")
+        scores = fused([ranked(lexical_leg, blob, limit=candidates), ranked(semantic_leg, blob, limit=candidates)], blob)
     hits = best_blob(scores, refs, blob, doc, limit, offset)
     snippets = chunked.where("chunk = 0").select(blob, F.col("chunk_text").alias("snippet"))
     return hits.join(snippets, blob, "left").select(doc, blob, "score", "rank", "snippet")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmere.functions.text import search_terms
+from leafmere.operators.running import running
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -77,13 +78,16 @@ def field_scores(docs: DataFrame, key: str, field: str, query: str, candidates:
 
 
 def ranked(hits: DataFrame, key: str, score: str = "score", limit: int | None = None, offset: int = 0) -> DataFrame:
-    """hits with ``rank`` counted from 1 by score, then key; the page after ``offset``."""
+    """hits with ``rank`` counted from 1 by score, then key; the page after ``offset``, or all of them without a limit."""
     order = [F.col(score).desc(), F.col(key).asc()]
-    if limit is not None:
+    if limit is None:
+        # All ranks at once are a running count over ranges of the order, which no task holds whole.
+        out = running(hits.withColumn("__one", F.lit(1)), [], order, {"__before": ("sum", "__one")})
+        out = out.withColumn("rank", (F.coalesce("__before", F.lit(0)) + 1).cast("bigint")).drop("__one", "__before")
+    else:
         # The page is cut by a distributed top-k before its rows are numbered.
-        hits = hits.orderBy(*order).limit(limit + offset)
-    out = hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    return out.where(F.col("rank") > offset)
+        out = hits.orderBy(*order).limit(limit + offset).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return out.where(F.col("rank") > offset) if offset else out
 
 
 def lexical(docs: DataFrame, key: str, fields: list[str], query: str, candidates: DataFrame | None = None, limit: int | None = 10, offset: int = 0, **terms) -> DataFrame:
@@ -111,25 +115,33 @@ def unit(values: list[float]) -> list[float]:
     return [v / norm for v in values] if norm else list(values)
 
 
-def semantic(vectors: DataFrame, key: str, vec: str, query: list[float], candidates: DataFrame | None = None, top: int | None = 100, field: str = "vec") -> DataFrame:
-    """(key, score, {field}:cosine, rank): dot product of the unit query and the quantised vectors; others' lengths are skipped.
+def cosine_scores(vectors: DataFrame, key: str, vec: str, query: list[float], candidates: DataFrame | None = None) -> DataFrame:
+    """(key, score): dot product of the unit query and the quantised vectors, the best of a key; other lengths are skipped.
 
     Scores have nine decimals, so that the order of additions never decides between equal vectors.
     """
     q = F.array(*[F.lit(float(v)) for v in unit(query)])
     rows = vectors if candidates is None else vectors.join(candidates.select(key).distinct(), key, "left_semi")
     scored = rows.where(F.size(vec) == len(query)).select(key, F.round(dot(q, dequantised(quantised(F.col(vec)))), 9).alias("score"))
-    best = scored.groupBy(key).agg(F.max("score").alias("score"))
-    return ranked(best, key, "score", top).withColumn(f"{field}:cosine", F.col("score"))
+    return scored.groupBy(key).agg(F.max("score").alias("score"))
 
 
-def rrf(legs: list[DataFrame], key: str, k: int = RRF_K, limit: int | None = 10, offset: int = 0) -> DataFrame:
-    """(key, score, rank): sum of 1 / (k + rank) over the legs, each with ``rank``; a leg without a document adds 0."""
+def semantic(vectors: DataFrame, key: str, vec: str, query: list[float], candidates: DataFrame | None = None, top: int | None = 100, field: str = "vec") -> DataFrame:
+    """(key, score, {field}:cosine, rank) of the ``top`` documents by cosine_scores."""
+    return ranked(cosine_scores(vectors, key, vec, query, candidates), key, "score", top).withColumn(f"{field}:cosine", F.col("score"))
+
+
+def fused(legs: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
+    """(key, score): sum of 1 / (k + rank) over the legs, each with ``rank``; a leg without a document adds 0."""
     if k < 1:
         raise ValueError("k must be 1 or more")
     parts = [leg.select(key, (1.0 / (k + F.col("rank"))).alias("part")) for leg in legs]
-    merged = reduce(DataFrame.unionAll, parts).groupBy(key).agg(F.sum("part").alias("score"))
-    return ranked(merged, key, "score", limit, offset)
+    return reduce(DataFrame.unionAll, parts).groupBy(key).agg(F.sum("part").alias("score"))
+
+
+def rrf(legs: list[DataFrame], key: str, k: int = RRF_K, limit: int | None = 10, offset: int = 0) -> DataFrame:
+    """(key, score, rank): a page of the fused legs."""
+    return ranked(fused(legs, key, k), key, "score", limit, offset)
 
 
 def search(docs: DataFrame, key: str, query: str, fields: list[str] | None = None, text_fields: tuple[str, ...] = (), vectors: DataFrame | None = None, vec: str = "vec", query_vector: list[float] | None = None, where: Column | None = None,

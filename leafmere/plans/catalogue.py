@@ -267,7 +267,7 @@ def sq8_sum(spark, d):
 
 @query(COS_SQL + "select vec_id, round(score, 6) + 0 as score from cos")
 def cosine_all(spark, d):
-    return search.semantic(table(spark, d, "embeddings"), "vec_id", "embedding", QV, top=None).select("vec_id", F.round("score", 6).alias("score"))
+    return search.cosine_scores(table(spark, d, "embeddings"), "vec_id", "embedding", QV).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(COS_SQL + "select vec_id, round(score, 6) + 0 as score from cos order by score desc, vec_id limit 100")

@@ -88,12 +88,14 @@ def test_promotion_delta_and_dml(spark):
 def test_running_over_a_hot_group(spark):
     rows = [(None if i % 3 else "h", i, (i * 7) % 5) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
-    got = {(r.g, r.o): (r.s, r.m) for r in running(df, ["g"], [F.col("o").asc()], {"s": ("sum", "v"), "m": ("max", "v")}).collect()}
+    got = {(r.g, r.o): (r.s, r.m, r.l) for r in running(df, ["g"], [F.col("o").asc()], {"s": ("sum", "v"), "m": ("max", "v"), "l": ("min", "v")}).collect()}
     state = {}
     for g, o, v in rows:
-        s = state.get(g, (None, None))
+        s = state.get(g, (None, None, None))
         assert got[(g, o)] == s
-        state[g] = ((s[0] or 0) + v, max(s[1] if s[1] is not None else -1, v))
+        state[g] = ((s[0] or 0) + v, max(s[1] if s[1] is not None else -1, v), min(s[2] if s[2] is not None else 9, v))
+    whole = running(df.select("o", "v"), [], [F.col("o").desc()], {"s": ("sum", "v")}).orderBy("o").collect()
+    assert [r.s for r in whole] == [sum((j * 7) % 5 for j in range(i + 1, 3000)) if i < 2999 else None for i in range(3000)]
     assert running(df.limit(0), ["g"], [F.col("o")], {"s": ("sum", "v")}).count() == 0
 
 
