@@ -76,14 +76,14 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, per_shard: int =
     shards = max(1, -(-(weight or 0) // (capacity * per_shard)), -(-rows // (200 * per_shard)))
     full = F.floor((F.col("size") - 1) / capacity)
     pieces = F.when(F.col("size") > capacity, F.sequence(F.lit(1).cast("bigint"), full + 1)).otherwise(F.array(F.lit(1).cast("bigint")))
-    cutup = sized.select("key", F.col("size").alias("whole"), F.explode(pieces).alias("piece"))
-    cutup = cutup.select("key", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("whole") - (F.col("piece") - 1) * capacity).cast("int").alias("size"))
-    # The pieces of one huge item differ in number, so they spread over shards like other items.
-    cutup = cutup.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
+    cutup = sized.select("key", F.col("size").alias("whole"), F.monotonically_increasing_id().alias("row"), F.explode(pieces).alias("piece"))
+    cutup = cutup.select("key", "row", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("whole") - (F.col("piece") - 1) * capacity).cast("int").alias("size"))
+    # Rows of one key and pieces of one huge item spread over the shards like other items.
+    cutup = cutup.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
     schema = T.StructType([cutup.schema["key"], T.StructField("piece", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("container", T.LongType())])
 
     def shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("size", "descending"), ("key", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         first = table.column("shard")[0].as_py() << 32 if len(table) else 0
         containers = best_fit(table.column("size").to_pylist(), capacity)
         return table.select(["key", "piece", "size"]).append_column("container", pa.array([first + c for c in containers], pa.int64()))

@@ -97,24 +97,33 @@ def decoded(blob: Column, charset: Column) -> Column:
     return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
 
+def text_items(items: DataFrame) -> DataFrame:
+    """The rows of work items whose files are no binaries; a missing hash is made from the bytes."""
+    kind = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
+    return items.where((kind != "application/octet-stream") & F.col("blob_bytes").isNotNull()).withColumn("sha256", F.coalesce("sha256", F.sha2("blob_bytes", 256)))
+
+
 def file_texts(items: DataFrame, results: DataFrame) -> DataFrame:
-    """Distinct work items that hold texts, with ``text``: their bytes in the charset found for the file, UTF-8 if none was."""
-    # A file has one charset; results that name none say UTF-8.
+    """(sha256, text): the text of each file once, however often it is queued, in the charset found for it, else UTF-8."""
+    # Results that name no charset say UTF-8.
     charset = F.coalesce(F.lower(F.trim("charset")), F.lit("utf-8"))
-    charsets = results.where("sha256 is not null").groupBy("sha256").agg(F.min(F.when(charset.isin("utf8", "utf-8"), F.lit("utf-8")).otherwise(charset)).alias("__charset"))
-    kind = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
-    texts = items.where((kind != "application/octet-stream") & F.col("blob_bytes").isNotNull())
-    # The join spreads rows by sha256, which then also serves to drop repeated rows without moving the bytes again.
-    texts = texts.join(charsets, "sha256", "left").dropDuplicates(["sha256", "item_id", "chunk_size", "chunk_overlap"])
-    return texts.withColumn("text", decoded(F.col("blob_bytes"), F.col("__charset"))).drop("__charset", "blob_bytes")
+    charsets = results.where("sha256 is not null").groupBy("sha256").agg(F.min(F.when(charset.isin("utf8", "utf-8"), F.lit("utf-8")).otherwise(charset)).alias("charset"))
+    files = text_items(items).groupBy("sha256").agg(F.first("blob_bytes").alias("bytes"))
+    return files.join(charsets, "sha256", "left").select("sha256", decoded(F.col("bytes"), F.col("charset")).alias("text"))
 
 
 def pieces_of_files(items: DataFrame, results: DataFrame) -> DataFrame:
-    """(item_id, sha256, piece, start_word, end_word, text) of every distinct work item that holds a text."""
-    items = items.select("item_id", "sha256", "media_type", "blob_bytes", "chunk_size", "chunk_overlap")
-    cutup = with_pieces(file_texts(items, results), "text", "chunk_size", "chunk_overlap")
+    """(item_id, sha256, piece, start_word, end_word, text) of every distinct work item that holds a text.
+
+    A file is cut once for each of its settings; what its items share is joined to them by its hash alone, by which the
+    texts are spread already.
+    """
+    queued = text_items(items).select("item_id", "sha256", "chunk_size", "chunk_overlap").distinct()
+    settings = queued.select("sha256", F.col("chunk_size").alias("size"), F.col("chunk_overlap").alias("overlap")).distinct()
+    cutup = with_pieces(settings.join(file_texts(items, results), "sha256"), "text", "size", "overlap")
     # The outer form keeps the optimizer from inferring a filter that would compute the pieces twice.
-    out = cutup.select("item_id", "sha256", F.posexplode_outer("pieces").alias("n", "p")).where("n is not null")
+    pieces = cutup.select("sha256", "size", "overlap", F.posexplode_outer("pieces").alias("n", "p")).where("n is not null")
+    out = queued.join(pieces, "sha256").where(F.col("size").eqNullSafe(F.col("chunk_size")) & F.col("overlap").eqNullSafe(F.col("chunk_overlap")))
     return out.select("item_id", "sha256", (F.col("n") + 1).alias("piece"), F.col("p.start").alias("start_word"), F.col("p.end").alias("end_word"), F.col("p.text").alias("text"))
 
 

@@ -189,15 +189,15 @@ def test_cuts_fall_on_the_strongest_boundary(spark):
 
 def test_charsets_and_binaries(spark):
     text = "één twee drie vier"
-    rows = [(1, "a", None, text.encode("utf-16"), 2, 0), (2, "b", "TEXT/plain; charset=x", text.encode("latin-1"), 2, 0), (3, "c", " Application/Octet-Stream ", text.encode(), 2, 0), (4, "d", "text/plain", b"\xff\xfe bad " + b"\xef\xbb\xbf", 2, 0), (5, "e", "text/plain", b"\xef\xbb\xbfone two", 2, 0), (5, "e", "text/plain", b"\xef\xbb\xbfone two", 2, 0), (6, "f", None, None, 2, 0), (7, "g", None, b"\x00\xd8a\x00 \x00b\x00 \x00c", 2, 0)]
+    rows = [(1, "a", None, text.encode("utf-16"), 2, 0), (2, "b", "TEXT/plain; charset=x", text.encode("latin-1"), 2, 0), (3, "c", " Application/Octet-Stream ", text.encode(), 2, 0), (4, "d", "text/plain", b"\xff\xfe bad " + b"\xef\xbb\xbf", 2, 0), (5, "e", "text/plain", b"\xef\xbb\xbfone two", 2, 0), (5, "e", "text/plain", b"\xef\xbb\xbfone two", 2, 0), (6, "f", None, None, 2, 0), (8, None, None, b"a b c", 2, 1), (9, "e", "text/plain", b"\xef\xbb\xbfone two", 1, None), (7, "g", None, b"\x00\xd8a\x00 \x00b\x00 \x00c", 2, 0)]
     items = spark.createDataFrame(rows, "item_id long, sha256 string, media_type string, blob_bytes binary, chunk_size int, chunk_overlap int")
     results = spark.createDataFrame([("a", "utf-16le"), ("a", None), ("b", "ISO-8859-1"), ("e", "UTF-8"), ("g", "utf-16le"), (None, "x")], "sha256 string, charset string")
     pieces = splitting.pieces_of_files(items, results)
     got = {}
     for r in pieces.orderBy("item_id", "piece").collect():
         got.setdefault(r.item_id, []).append(r.text)
-    assert got[1] == got[2] == ["één twee ", "drie vier"] and 3 not in got and got[5] == ["one two"] and 6 not in got and "".join(got[7]).split() == ["a", "b"]
-    assert {r[0] for r in splitting.oversized_items(pieces).collect()} == {1, 2, 4} and splitting.oversized_items(splitting.pieces_of_files(items.limit(0), results)).count() == 0
+    assert got[1] == got[2] == ["één twee ", "drie vier"] and 3 not in got and got[5] == ["one two"] and got[9] == ["one ", "two"] and got[8] == ["a b ", "b c"] and 6 not in got and "".join(got[7]).split() == ["a", "b"]
+    assert {r[0] for r in splitting.oversized_items(pieces).collect()} == {1, 2, 4, 8, 9} and splitting.oversized_items(splitting.pieces_of_files(items.limit(0), results)).count() == 0
 
 
 # Encoding
