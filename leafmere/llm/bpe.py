@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,8 @@ DEFAULT_TOKENIZER = "byte_bpe_50k"
 NO_PAIR = np.int32(2**31 - 1)
 #: Rows of a matrix times its width stay under this many cells.
 CELLS = 1 << 21
+#: Texts of a batch are taken in slices of about this many bytes (one text at least), which bounds the arrays beside them.
+SLICE_BYTES = 8 << 20
 #: Pre-tokens of more bytes than this take the heap, whose time grows as n log n instead of n squared.
 LONG_ROW = 1536
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -279,32 +282,40 @@ def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts), raw), counts
 
 
-def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts end to end, number of ids of each text)."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of ``texts`` of about ``most`` bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
+def encoded_slice(texts: pa.Array, path: str, with_ids: bool) -> tuple[np.ndarray, np.ndarray]:
     words, per_text = pre_tokens(texts)
     if not len(words):
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
     ids, counts = encode_words(coded.dictionary.cast(pa.string()), pair_table(path))
-    starts = np.cumsum(counts) - counts
     each = counts[code]
-    flat = ids[ragged_places(starts[code], each)]
+    flat = ids[ragged_places((np.cumsum(counts) - counts)[code], each)] if with_ids else ids[:0]
     ends = np.concatenate([[0], np.cumsum(each)])
     last = np.cumsum(per_text)
     return flat, ends[last] - ends[last - per_text]
 
 
+def encode_batch(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts end to end, number of ids of each text)."""
+    parts = [encoded_slice(part, path, True) for part in slices(texts)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def count_batch(texts: pa.Array, path: str) -> np.ndarray:
     """Number of ids of each text, without laying out the ids."""
-    words, per_text = pre_tokens(texts)
-    if not len(words):
-        return np.zeros(len(texts), np.int64)
-    coded = words.dictionary_encode()
-    counts = encode_words(coded.dictionary.cast(pa.string()), pair_table(path))[1]
-    ends = np.concatenate([[0], np.cumsum(counts[coded.indices.to_numpy(zero_copy_only=False)])])
-    last = np.cumsum(per_text)
-    return ends[last] - ends[last - per_text]
+    return np.concatenate([np.zeros(0, np.int64), *[encoded_slice(part, path, False)[1] for part in slices(texts)]])
 
 
 def token_ids(text: Column, path: str | None = None) -> Column:

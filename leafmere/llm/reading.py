@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmere.llm.bpe import ragged_places
+from leafmere.llm.bpe import ragged_places, slices
 
 #: Shares of the word pair, word and character models in a word's probability.
 SHARES = (0.55, 0.4, 0.05)
@@ -229,6 +229,11 @@ class Grader:
 
 def measured(texts: pa.Array, models: Models) -> dict[str, np.ndarray]:
     """Surprisal statistics and difficulty of each text, over all its words."""
+    parts = [measured_slice(part, models) for part in slices(texts)] or [measured_slice(texts, models)]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def measured_slice(texts: pa.Array, models: Models) -> dict[str, np.ndarray]:
     words, counts, letters = words_of(texts)
     by_level, unknown = models.surprisals(words, counts)
     ends = np.cumsum(counts)
