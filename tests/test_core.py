@@ -136,6 +136,8 @@ def test_blobs(spark):
     refs = blobs.reference_rows(docs)
     assert [tuple(r) for r in refs.collect()] == [("d1", h)] and [tuple(r) for r in blobs.reference_paths(docs).collect()] == [("d1", h, "$.x[0]")]
     assert blobs.garbage(spark.createDataFrame([(h,), ("cd",)], "sha256 string"), refs).collect()[0][0] == "cd"
+    change = spark.range(1).select(blobs.reference_changes(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))), blobs.reference_changes(F.lit(None), F.array(F.lit("a")))).first()
+    assert (change[0].added, change[0].removed) == (["c"], ["a"]) and (change[1].added, change[1].removed) == (["a"], [])
     have = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "sha256 string, present boolean")
     states = spark.createDataFrame([("c", "odd")], "sha256 string, state string")
     assert {r.state: r.n for r in blobs.indexing_states(have, states).collect()} == {"pending": 2, "stub": 1}
