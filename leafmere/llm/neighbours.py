@@ -29,7 +29,7 @@ SKETCH_BITS = 256
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Standard deviations by which a sketch may differ more than expected before a pair is left out.
 SKETCH_SIGMAS = 4.0
-#: Rows of a bucket above which its rows take a further axis.
+#: Different vectors of a bucket above which they take a further axis.
 HOT_BUCKET = 4096
 #: Numbers of hot buckets up to which they are sent to all tasks, 8 bytes each.
 HOT_SENT = 100_000
@@ -208,14 +208,23 @@ def entered_rows(rows: DataFrame, probes: int) -> DataFrame:
     return out.select(F.xxhash64("model", "dim", table, "bucket").alias("key"), "id", *SKETCH, (F.col("at") % probes == 0).alias("own"), F.get("deeper", table).alias("deep"))
 
 
-def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
-    """(hot) of the buckets that hold more than HOT_BUCKET rows, None if there are none."""
-    counts = entered_rows(rows, probes).where("own").groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot"))
-    # The list of such buckets is sent to all tasks only while it is short.
-    some = counts.limit(HOT_SENT + 1).collect()
+def sent(rows: DataFrame) -> DataFrame | None:
+    """The rows, sent to all tasks while they are few; None if there are none."""
+    some = rows.limit(HOT_SENT + 1).collect()
     if not some:
         return None
-    return counts if len(some) > HOT_SENT else F.broadcast(rows.sparkSession.createDataFrame(some, "hot bigint"))
+    return rows if len(some) > HOT_SENT else F.broadcast(rows.sparkSession.createDataFrame(some, rows.schema))
+
+
+def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
+    """(hot) of the buckets that are the own one of more than HOT_BUCKET ids, None if there are none."""
+    own = entered_rows(rows, probes).where("own").select("key", "id")
+    many = sent(own.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
+    if many is None:
+        return None
+    # Copies of a vector are one class in the join, so the ids of the few buckets with many rows are told apart.
+    ids = own.join(many, F.col("key") == F.col("hot"), "left_semi").distinct()
+    return sent(ids.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
 
 
 def candidate_pairs(rows: DataFrame, probes: int, cosine: float, hot: DataFrame | None = None) -> DataFrame:

@@ -147,6 +147,24 @@ def test_hot_buckets_are_split(spark, monkeypatch):
     assert neighbours.similar_pairs(df, 0.9).count() == full >= 250
 
 
+def test_copies_make_no_bucket_hot(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT_BUCKET", 40)
+    r = np.random.default_rng(5)
+    one = r.standard_normal(24)
+    one /= np.linalg.norm(one)
+    far = r.standard_normal((30, 24))
+    far -= (far @ one)[:, None] * one
+    near = 0.91 * one + np.sqrt(1 - 0.91**2) * far / np.linalg.norm(far, axis=1)[:, None]
+    # One vector under 60 ids, one of these in 60 rows, and 30 different neighbours of it.
+    rows = [(i, "m", one.tolist()) for i in [*range(60), *[59] * 60]] + [(100 + i, "m", v.tolist()) for i, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "vec_id long, model string, vec array<float>")
+    hashes = neighbours.hashed(df.withColumn("id", F.xxhash64("model", "vec")), neighbours.plans_for(df, 0.9))
+    assert neighbours.hot_buckets(hashes, 2) is None
+    got = {tuple(x) for x in neighbours.similar_pairs(df, 0.9).collect()}
+    assert {(a, b) for a in range(60) for b in range(a + 1, 60)} <= got
+    assert len([p for p in got if p[0] < 60 and p[1] >= 100]) >= 0.97 * 60 * 30
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).standard_normal((5, 48)).astype("f4")
     y = neighbours.rotate(x, 3)
