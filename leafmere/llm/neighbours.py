@@ -29,9 +29,9 @@ SKETCH_BITS = 256
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Standard deviations by which a sketch may differ more than expected before a pair is left out.
 SKETCH_SIGMAS = 4.0
-#: Different vectors of a bucket above which they take a further axis.
+#: Different vectors of a bucket above which they are joined in blocks of about so many.
 HOT_BUCKET = 4096
-#: Numbers of hot buckets up to which they are sent to all tasks, 8 bytes each.
+#: Numbers of hot buckets up to which they are sent to all tasks, 12 bytes each.
 HOT_SENT = 100_000
 
 
@@ -174,8 +174,8 @@ def matrices(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.
 
 
 def hashed(classes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(id, model, dim, s0.., buckets, deeper) of every row of (id, model, vec): a sketch, the buckets of all tables,
-    the own one of each table first, and a further axis per table."""
+    """(id, model, dim, s0.., buckets) of every row of (id, model, vec): a sketch and the buckets of all tables, the own
+    one of each table first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,15 +183,14 @@ def hashed(classes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
                 n, dim = x.shape
                 plan = plans[dim]
                 keys, bits = plan.keys(x), sketch(x)
-                deep = np.stack([nearest_axes(x, 1 << 20 | t, padded(dim), 1)[0][:, 0] for t in range(plan.tables)], 1)
                 some = batch.take(pa.array(which))
                 lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (a.size // n)), pa.array(np.ascontiguousarray(a).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), some.column("model"), pa.array(np.full(n, dim, np.int32)), *[pa.array(b.copy()) for b in bits.T], lists(keys), lists(deep.astype(np.int32))],
-                    names=["id", "model", "dim", *SKETCH, "buckets", "deeper"])
+                    [some.column("id"), some.column("model"), pa.array(np.full(n, dim, np.int32)), *[pa.array(b.copy()) for b in bits.T], lists(keys)],
+                    names=["id", "model", "dim", *SKETCH, "buckets"])
 
     sketches = ", ".join(f"{c} bigint" for c in SKETCH)
-    return classes.mapInArrow(rows, f"id bigint, model string, dim int, {sketches}, buckets array<bigint>, deeper array<int>")
+    return classes.mapInArrow(rows, f"id bigint, model string, dim int, {sketches}, buckets array<bigint>")
 
 
 def plans_for(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> dict[int, Plan]:
@@ -201,11 +200,11 @@ def plans_for(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: i
 
 
 def entered_rows(rows: DataFrame, probes: int) -> DataFrame:
-    """(key, id, sketch, own, deep): a row for each bucket that a vector is entered in; own marks its own bucket."""
+    """(key, id, sketch, own): a row for each bucket that a vector is entered in; own marks its own bucket."""
     # A bucket's place in the list gives its table and whether it is the own one.
-    out = rows.select("model", "dim", "id", *SKETCH, "deeper", F.posexplode("buckets").alias("at", "bucket"))
+    out = rows.select("model", "dim", "id", *SKETCH, F.posexplode("buckets").alias("at", "bucket"))
     table = F.floor(F.col("at") / probes).cast("int")
-    return out.select(F.xxhash64("model", "dim", table, "bucket").alias("key"), "id", *SKETCH, (F.col("at") % probes == 0).alias("own"), F.get("deeper", table).alias("deep"))
+    return out.select(F.xxhash64("model", "dim", table, "bucket").alias("key"), "id", *SKETCH, (F.col("at") % probes == 0).alias("own"))
 
 
 def sent(rows: DataFrame) -> DataFrame | None:
@@ -217,30 +216,43 @@ def sent(rows: DataFrame) -> DataFrame | None:
 
 
 def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
-    """(hot) of the buckets that are the own one of more than HOT_BUCKET ids, None if there are none."""
-    own = entered_rows(rows, probes).where("own").select("key", "id")
-    many = sent(own.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
+    """(hot, blocks) of the buckets that more than HOT_BUCKET ids are entered in, None if there are none; no blocks for a
+    bucket that is nobody's own one."""
+    entered = entered_rows(rows, probes).select("key", "id", "own")
+    many = sent(entered.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
     if many is None:
         return None
     # Copies of a vector are one class in the join, so the ids of the few buckets with many rows are told apart.
-    ids = own.join(many, F.col("key") == F.col("hot"), "left_semi").distinct()
-    return sent(ids.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
+    ids = entered.join(many, F.col("key") == F.col("hot"), "left_semi").groupBy("key", "id").agg(F.max("own").alias("own"))
+    counts = ids.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where(F.col("n") > HOT_BUCKET)
+    return sent(counts.select(F.col("key").alias("hot"), F.when(F.col("own"), F.ceil(F.col("n") / HOT_BUCKET)).otherwise(0).cast("int").alias("blocks")))
 
 
 def candidate_pairs(rows: DataFrame, probes: int, cosine: float, hot: DataFrame | None = None) -> DataFrame:
     """(a, b) of the ids that share a bucket, one of them as its own, and whose sketches allow the cosine; a < b.
 
-    A bucket may hold any share of the rows: one over the bound is split by a further axis of its own.
+    A bucket may hold any share of the rows: the ids of one over the bound are cut into blocks, and every two blocks, and
+    each block with itself, are joined under a key of their own, so that all pairs of the bucket still meet, once each.
     """
     entered = entered_rows(rows, probes)
+    own, unlike = F.col("a.own") | F.col("b.own"), reduce(add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
+    alike = own & (unlike <= most_unlike(cosine))
+
     if hot is not None:
         entered = entered.join(hot, F.col("key") == F.col("hot"), "left")
-        entered = entered.withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("key", "deep")).otherwise(F.col("key")))
+        crowd = entered.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        entered = entered.where("hot is null")
     entered = entered.select("key", "id", *SKETCH, "own")
-    a, b = entered.alias("a"), entered.alias("b")
-    unlike = reduce(add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
-    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.own") | F.col("b.own")) & (unlike <= most_unlike(cosine)))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = entered.alias("a").join(entered.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & alike)
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    if hot is not None:
+        # The lesser block is at the left, so a row stands there with each block from its own on, at the right with those up to it.
+        cell = lambda low, high: F.xxhash64("key", low, high).alias("key")
+        left = crowd.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(cell("block", "other"), "id", *SKETCH, "own", "block")
+        right = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select(cell("other", "block"), "id", *SKETCH, "own", "block")
+        met = left.alias("a").join(right.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & ((F.col("a.block") < F.col("b.block")) | (F.col("a.id") < F.col("b.id"))) & alike)
+        pairs = pairs.unionAll(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")))
+    return pairs.distinct()
 
 
 def similar_pairs(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> DataFrame:

@@ -165,6 +165,27 @@ def test_copies_make_no_bucket_hot(spark, monkeypatch):
     assert len([p for p in got if p[0] < 60 and p[1] >= 100]) >= 0.97 * 60 * 30
 
 
+def test_a_clump_keeps_its_pairs(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    # Vectors around one middle, at some 0.8 to each other, half of them with a neighbour at 0.905.
+    middle, off = unit(r.standard_normal(64)), r.standard_normal((600, 64))
+    off = unit(off - (off @ middle)[:, None] * middle)
+    clump = np.sqrt(0.8) * middle + np.sqrt(0.2) * off
+    side = r.standard_normal((300, 64))
+    side -= (side * clump[:300]).sum(1)[:, None] * clump[:300]
+    x = np.concatenate([clump, 0.905 * clump[:300] + np.sqrt(1 - 0.905**2) * unit(side)]).astype("f4")
+    u = unit(x.astype("f8"))
+    expected = set(zip(*(i.tolist() for i in np.nonzero(np.triu(u @ u.T >= 0.9, 1)))))
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "vec_id long, model string, vec array<float>")
+    plain = {tuple(p) for p in neighbours.similar_pairs(df, 0.9).collect()}
+    monkeypatch.setattr(neighbours, "HOT_BUCKET", 50)
+    hot = neighbours.hot_buckets(neighbours.hashed(df.withColumn("id", F.xxhash64("model", "vec")), neighbours.plans_for(df, 0.9)), 2)
+    assert hot is not None and hot.where("blocks > 2").count() >= 3
+    got = {tuple(p) for p in neighbours.similar_pairs(df, 0.9).collect()}
+    assert got == plain and got <= expected and len(got) >= 0.99 * len(expected) >= 250
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).standard_normal((5, 48)).astype("f4")
     y = neighbours.rotate(x, 3)
