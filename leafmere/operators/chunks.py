@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmere.functions.text import TOKEN, search_terms
 from leafmere.operators.search import K1, B, cosine_scores, fused, idf, query_terms, ranked
@@ -15,26 +18,38 @@ def chunk_count(words: Column, size: int = 300, overlap: int = 50) -> Column:
     return F.when(words == 0, 0).when(words <= size, 1).otherwise(1 + F.ceil((words - size) / step)).cast("int")
 
 
+def cumulated(lengths: Column) -> Column:
+    """The running sums of each array of numbers without nulls."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def sums(arrays: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(np.diff(arrays.offsets.to_numpy()))])
+        total = np.concatenate([[0], np.cumsum(arrays.flatten().to_numpy().astype(np.int64))])
+        out = total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))
+
+    return sums(lengths)
+
+
 def chunks(docs: DataFrame, key: str, text: str, size: int = 300, overlap: int = 50) -> DataFrame:
     """(key, chunk, start_word, end_word, word_count, byte_start, byte_end, chunk_text) of every window of ``size`` words."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to below size")
-    # Words with whatever stands before them; cumulated lengths give the places of each word.
+    # Words with whatever stands before them; their lengths, cumulated once a text, give the places of each word.
     parts = F.regexp_extract_all(text, F.lit(rf"(?s).*?{TOKEN}"), F.lit(0))
     # The words themselves, in the same order.
     names = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__text"), parts.alias("__parts"), names.alias("__words"))
-    rows = rows.withColumn("__n", F.size("__words"))
+    rows = docs.where(F.col(text).isNotNull()).select(key, parts.alias("__parts"), names.alias("__words"))
+    rows = rows.withColumn("__n", F.size("__words")).withColumn("__ends", cumulated(F.transform("__parts", lambda p: F.octet_length(p))))
     windows = rows.select("*", F.posexplode(F.sequence(F.lit(0), chunk_count(F.col("__n"), size, overlap) - 1)).alias("chunk", "__i")).where("__n > 0")
     start = F.col("chunk") * (size - overlap)
     end = F.least(F.col("__n"), start + size)
     windows = windows.withColumn("start_word", start).withColumn("end_word", end)
-    before = F.array_join(F.slice("__parts", F.lit(1), F.col("start_word") + 1), "")
-    byte_start = F.octet_length(before) - F.octet_length(F.get("__words", F.col("start_word")))
-    byte_end = F.octet_length(F.array_join(F.slice("__parts", F.lit(1), F.col("end_word")), ""))
-    spans = windows.select(key, "chunk", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("word_count"), byte_start.alias("byte_start"), byte_end.alias("byte_end"), "__text", F.slice("__words", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")).alias("words"))
-    body = F.decode(F.substring(F.encode("__text", "UTF-8"), F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start")), "UTF-8")
-    return spans.withColumn("chunk_text", body).drop("__text")
+    first = F.get("__words", F.col("start_word"))
+    byte_start = F.get("__ends", F.col("start_word")) - F.octet_length(first)
+    byte_end = F.get("__ends", F.col("end_word") - 1)
+    count = F.col("end_word") - F.col("start_word")
+    body = F.concat(first, F.array_join(F.slice("__parts", F.col("start_word") + 2, count - 1), ""))
+    return windows.select(key, "chunk", "start_word", "end_word", count.alias("word_count"), byte_start.alias("byte_start"), byte_end.alias("byte_end"), F.slice("__words", F.col("start_word") + 1, count).alias("words"), body.alias("chunk_text"))
 
 
 def blob_bm25(chunked: DataFrame, key: str, query: str, stop: bool = True) -> DataFrame:

@@ -510,6 +510,19 @@ def chunk_spans(spark, d):
     return one.where(F.decode(again, "UTF-8") == F.col("extracted_text")).agg(F.count("*").alias("n"), F.sum(F.length("extracted_text")).alias("signs"))
 
 
+@query(f"""
+with files as (select sha256, regexp_extract_all(extracted_text, '{RX}') as words, regexp_extract_all(extracted_text, '(?s).*?{RX}') as parts from {FILES}),
+sized as (select *, len(words) as n, list_transform(parts, lambda p: strlen(p)) as lens from files),
+windows as (select *, unnest(range(0, case when n = 0 then 0 when n <= 300 then 1 else 1 + cast(ceil((n - 300) / 250.0) as bigint) end)) as chunk from sized),
+places as (select *, chunk * 250 as s, least(n, chunk * 250 + 300) as e from windows)
+select sha256, cast(chunk as int) as chunk, cast(list_sum(lens[1 : s + 1]) - strlen(words[s + 1]) as int) as byte_start, cast(list_sum(lens[1 : e]) as int) as byte_end,
+  md5(words[s + 1] || array_to_string(parts[s + 2 : e], '')) as text_md5 from places""")
+def chunk_bytes(spark, d):
+    """Byte spans and contents of all windows of all texts."""
+    out = chunks.chunks(files_of(spark, d), "sha256", "extracted_text")
+    return out.select("sha256", "chunk", "byte_start", "byte_end", F.md5("chunk_text").alias("text_md5"))
+
+
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 BLOB_BM25 = CHUNKS + f""", terms as (select sha256, chunk, len(words) as dl, list_filter(regexp_extract_all(lower(array_to_string(words, ' ')), '{RX}'), lambda w: w not in ({STOP})) as terms from chunks),
 stats as (select sha256, count(*) as n, sum(len(terms)) as total from terms group by all),

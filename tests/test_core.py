@@ -1,8 +1,10 @@
 """Queries, log operators against a plain fold, search by hand, chunks, blobs, schema, sources and streams."""
 
+import hashlib
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from leafmere.operators.filters import Field
 from leafmere.operators.query import Collection
 from leafmere.operators.running import running
 from leafmere.operators.writes import Writer
+from leafmere.plans import catalogue
 from leafmere.sources import folder, formats, ndjson, packages
 from leafmere.streaming import live
 
@@ -130,6 +133,23 @@ def test_chunks(spark, n, expected):
         assert text.encode()[r.byte_start : r.byte_end].decode() == r.chunk_text and r.chunk_text.startswith(f"wörd{r.start_word}")
 
 
+def test_spans_of_all_windows_against_brute_force(spark, tmp_path):
+    r = random.Random(6)
+    word = lambda: r.choice(["a", "été", "don't", "l’eau", "日本", "x9", "Ünï", "42"])
+    texts = [lead + "".join(word() + r.choice([" ", "\n", " – ", "🙂 ", ", ", "_", "'"]) for _ in range(n)) for n, lead in [(0, "¡ 🙂"), (1, ""), (299, "\n"), (301, "🙂"), (900, ""), (2600, "– ")]]
+    rows = [(hashlib.sha256(t.encode()).hexdigest(), t) for t in texts] + [("none", None)]
+    spark.createDataFrame(rows, "sha256 string, extracted_text string").write.parquet(f"{tmp_path}/vault_index_result.parquet")
+    expected = set()
+    for sha, t in rows[:-1]:
+        spans = [m.span() for m in re.finditer(r"[^\W_]+(?:['’][^\W\d_]+)*", t)]
+        for chunk in range(0 if not spans else 1 + max(0, -(-(len(spans) - 300) // 250))):
+            some = spans[chunk * 250 : chunk * 250 + 300]
+            a, b = some[0][0], some[-1][1]
+            expected.add((sha, chunk, len(t[:a].encode()), len(t[:b].encode()), hashlib.md5(t[a:b].encode()).hexdigest()))
+    got = [tuple(x) for x in catalogue.queries()["chunk_bytes"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and max(x[1] for x in got) >= 8
+
+
 def test_blobs(spark):
     h = "ab" * 32
     docs = spark.createDataFrame([("d1", json.dumps({"x": [f"vault://sha256/{h}", {"y": f"see vault://sha256/{h}"}]})), ("d2", "{}"), ("d3", None)], "_id string, doc string")
