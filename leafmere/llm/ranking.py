@@ -31,15 +31,13 @@ def long_scores(hits: DataFrame) -> DataFrame:
     return out.select("q", "item", "score", F.col("entry.key").alias("name"), F.when(~F.isnan(value), value).alias("value"))
 
 
-def component_values(scores: DataFrame) -> DataFrame:
-    """One row a query, component and distinct value: hits that carry it (n) and its rank, plus the least and greatest
-    score of its hits, the least score under any greater value (over) and whether a score is missing (odd)."""
-    worth = F.when(~F.isnan("score"), F.col("score"))
-    values = scores.where("value is not null").groupBy("q", "name", "value").agg(
-        F.count("*").alias("n"), F.min(worth).alias("least"), F.max(worth).alias("most"), F.max(worth.isNull().cast("int")).alias("odd"))
+def component_ranks(scores: DataFrame) -> DataFrame:
+    """The rows of ``scores`` with the rank of each value among those of its query and component; null where none is carried."""
+    values = scores.where("value is not null").groupBy("q", "name", "value").agg(F.count("*").alias("n"))
     # From the greatest value down, the hits before a value are those that rank above it.
-    out = running(values, ["q", "name"], [F.col("value").desc()], {"over": ("min", "least"), "above": ("sum", "n")})
-    return out.withColumn("rank", F.coalesce("above", F.lit(0)) + (F.col("n") + 1) / 2)
+    out = running(values, ["q", "name"], [F.col("value").desc()], {"above": ("sum", "n")})
+    ranks = out.select("q", "name", "value", (F.coalesce("above", F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    return scores.join(ranks, ["q", "name", "value"], "left")
 
 
 def weighted_median(ranks: Column) -> Column:
@@ -63,8 +61,7 @@ def median_ranking(hits: DataFrame, query: str = "query_id", item: tuple[str, ..
 
     weights: a positive weight by component name, 1 where a name is missing.
     """
-    scores = long_scores(cut(distinct_hits(hits, query, list(item), score, fields)))
-    ranked = scores.join(component_values(scores).select("q", "name", "value", "rank"), ["q", "name", "value"], "left")
+    ranked = component_ranks(long_scores(cut(distinct_hits(hits, query, list(item), score, fields))))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         if not w > 0:
@@ -87,7 +84,11 @@ def ruled_queries(hits: DataFrame, query: str = "query_id", item: tuple[str, ...
     with nothing.
     """
     scores = long_scores(cut(distinct_hits(hits, query, list(item), score, fields)))
-    values = component_values(scores)
+    # The hits of a rank have one value; over is the least score of those that rank above it.
+    worth = F.when(~F.isnan("score"), F.col("score"))
+    places = component_ranks(scores).where("rank is not null").groupBy("q", "name", "rank").agg(
+        F.count("*").alias("n"), F.min(worth).alias("least"), F.max(worth).alias("most"), F.max(worth.isNull().cast("int")).alias("odd"))
+    values = running(places, ["q", "name"], [F.col("rank").asc()], {"over": ("min", "least")})
     broken = (F.col("odd") == 1) | (F.col("over") <= F.col("most"))
     rules = values.groupBy("q", "name").agg(F.sum("n").alias("hits"), F.count("*").alias("values"), F.max(F.coalesce(broken, F.lit(False))).alias("broken"))
     rules = rules.where((F.col("hits") >= least_hits) & (F.col("values") > 1) & ~F.col("broken")).select("q").distinct()

@@ -108,6 +108,18 @@ def test_ranking_ignores_scale_and_takes_weights(spark):
         places(rows, weights={"x": 0})
 
 
+def test_ruled_queries_take_the_ranks_of_the_aggregation(spark, monkeypatch):
+    rows = [(q, "n", f"d{i}", float(i) * (1 if q == 1 else -1), {"x": float(i), "y": float(i * 5 % 9)}, "", 0, "") for q in (1, 2) for i in range(9)]
+    df = spark.createDataFrame(rows, HITS)
+    assert [r[0] for r in ranking.ruled_queries(df).collect()] == [1]
+    plain = ranking.component_ranks
+    # With the ranks upside down, the query whose scores fall with a component is the one that follows it.
+    monkeypatch.setattr(ranking, "component_ranks", lambda scores: plain(scores).withColumn("rank", -F.col("rank")))
+    assert [r[0] for r in ranking.ruled_queries(df).collect()] == [2]
+    first = ranking.median_ranking(df).where("place = 1 and query_id = 1").first()
+    assert first.median_rank < 0
+
+
 # Vectors
 
 def vectors(spark, n=600, dim=24, seed=2):
