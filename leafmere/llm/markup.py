@@ -3,7 +3,8 @@
 Every non-blank line of a text is a block. Its features are its word count and link density and those of the blocks
 before and after it, and how many signs of HTML, Markdown, wiki and LaTeX source it holds. Two decision trees, grown on
 the small labelled table of markup_table.py, give a block's kind and whether it holds markup source. The converter then
-takes signs away only from blocks that hold some, and keeps headings and list items on lines of their own (items begin
+takes line signs and entities away only from blocks that hold some, by these signs and not by the kind; constructs over
+several lines and tags are taken wherever they stand. It keeps headings and list items on lines of their own (items begin
 with a bullet), code and formulas verbatim and table cells apart by tabs.
 
 Defined cases: a null text gives null results; an empty or blank text is empty and clean. Texts of any length are read
@@ -228,13 +229,19 @@ def plain_math(tex: str) -> str:
 def clean(text: str) -> str:
     """The text without markup source, its headings, lists, code blocks, formulas and tables kept."""
     text = re.sub(r"\r\n?", "\n", text)
-    marked = {line for _, m, line in classified(text) if m}
-    if not marked:
+    verdicts = iter([m for _, m, _ in classified(text)])
+    ends = re.split(r"([\n\x0b\x0c\x85\u2028\u2029])", text)
+    clear = [bool(x.strip()) and not next(verdicts) for x in ends[::2]]
+    if not any(x.strip() and not c for x, c in zip(ends[::2], clear)):
         return text
+    # A line judged clean carries a sign at its end through the steps over many lines; white space to all of them.
+    sign = next((c for c in "\x1f\x1e\x1d\x1c" if c not in text), "\x1f")
+    ends[::2] = [x.replace(sign, "") + sign * c for x, c in zip(ends[::2], clear)]
+    text = "".join(ends)
     kept: list[str] = []
 
     def keep(content: str) -> str:
-        kept.append(content)
+        kept.append(content.replace(sign, ""))
         return f"\x00{len(kept) - 1}\x00"
 
     def code(m: re.Match) -> str:
@@ -265,13 +272,23 @@ def clean(text: str) -> str:
         text = re.sub(r"</?(?:tr|li)\b[^<>]*>", "\n", text, flags=re.I)
         text = BLOCK_TAG.sub("\n\n", text)
         text = re.sub(TAG, "", text, flags=re.I)
-    text = html.unescape(html.unescape(text)).replace("\xa0", " ") if SIGNS["entity"][1].search(text) else text
-    out = [plain_line(line, tex) for line in text.split("\n")]
+    lines = text.split("\n")
+    # A number that the next line repeats is list source, whatever the verdict; plain lists count on.
+    numbers = [m and m[1] for m in (re.match(r"\s*(\d{1,3})\.[ \t]+\S", line) for line in lines)]
+    listed = [n is not None and n in (before, after) for n, before, after in zip(numbers, [None, *numbers], [*numbers[1:], None])]
+    out = [line.replace(sign, "") if sign in line and not item else plain_line(plain_entities(line.replace(sign, "")), tex) for line, item in zip(lines, listed)]
     text = "\n".join(x for x in out if x is not None)
     text = re.sub(r"\n{3,}", "\n\n", text).strip("\n")
     return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], text)
 
 
+def plain_entities(line: str) -> str:
+    """A line with its entities, which end with a semicolon, as signs; those that were escaped once more, too."""
+    for _ in range(2):
+        line = SIGNS["entity"][1].sub(lambda m: html.unescape(m[0]).replace("\xa0", " "), line)
+    return line
+
+
 def wiki_table(body: str) -> str:
     rows = []
     for row in re.split(r"(?m)^\|-.*$", body):

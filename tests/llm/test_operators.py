@@ -44,6 +44,15 @@ def test_conversion_keeps_structure():
     assert [x for x in markup.clean(tex).split("\n") if x] == ["Head", "An old town with x_i.", "• one", "a\t1", "a + b"]
 
 
+def test_only_marked_blocks_change():
+    plain = ["See the page at /list?a=1&section=2&copy=3 for it.", "The folder is named PROGRA~1 on that disk.", "12. March was a cold day in the whole valley.", "A separator\x1fstays where it is."]
+    for source in ["Some <b>old</b> words &amp; more.", "An \\emph{old} town \\cite{a07} more.", "A **bold** word &lt; that."]:
+        assert markup.clean(source) != source and all(not markup.has_markup(x) for x in plain)
+        out = markup.clean("\n\n".join([*plain, source, *plain]))
+        assert out.split("\n\n") == [*plain, markup.clean(source), *plain]
+    assert markup.clean("A **bold** word, /x?a=1&section=2 &amp;lt; it\n\n1. one\n1. two") == "A bold word, /x?a=1&section=2 < it\n\n• one\n• two"
+
+
 def test_markup_columns(spark):
     df = spark.createDataFrame([("s", None, 1), ("t", "", 1), ("u", "a <b>c</b> " + "word " * 50000, 1), ("u", "a <b>c</b> " + "word " * 50000, 1), (None, "<b>x</b>", 1)], "sha256 string, extracted_text string, text int")
     assert [r[0] for r in markup.marked_files(df).collect()] == ["u"] and markup.marked_files(df.limit(0)).count() == 0
