@@ -2,14 +2,19 @@
 
 A pseudo-rotation (three rounds of random signs and a Hadamard transform) sends a unit vector to the signed axis it is
 nearest to; a table's bucket joins several such axes, the last one possibly over fewer dimensions. ``Plan`` sets the
-number of axes by the number of vectors, so that buckets stay small, and then the number of tables by the collision
-probability at the sought cosine, measured on random pairs, so that a pair at just that cosine is found with the wanted
-probability and closer ones more surely. Every vector is entered in its bucket and in the buckets one probe away.
+number of axes by the number of vectors, so that buckets stay small, and then the tables and probes by the collision
+probability at the sought cosine, measured on random pairs.
+
+``similar_classes`` finds all pairs of a cosine or more: every vector is entered in its bucket and in the buckets one
+probe away, vectors that share a bucket are compared by sketches, and what is left exactly. ``nearest`` finds the k
+nearest of each query: it probes the buckets that the query is nearest to in every table, ranks what they hold by
+vectors of one byte a dimension, and the best of these exactly.
 
 Defined cases: null and zero vectors and those with a null, NaN or infinite component are in no result; rows of one
-vec_id count once; vectors of other models or other dimensions are never compared; rows without a current model are
-left out; exact copies under several ids hash once, as one class, and are then expanded. Empty tables give empty
-results. Other columns are not read.
+vec_id count once, and if they differ, the greatest (model, vector) counts; vectors of other models or other dimensions
+are never compared; rows without a current model are left out; exact copies under several ids are one class, told by the
+vectors themselves, whose members are given beside the pairs. Empty tables give empty results. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -18,21 +23,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from operator import add
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmere.operators.cutting import cut
+
 #: Signs of random projections; rows of one bucket are alike enough that fewer would let many pairs through.
 SKETCH_BITS = 256
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Standard deviations by which a sketch may differ more than expected before a pair is left out.
 SKETCH_SIGMAS = 4.0
-#: Different vectors of a bucket above which they are joined in blocks of about so many.
+#: Different vectors of a bucket above which they are compared block by block, by matrix products, in blocks of about so many.
 HOT_BUCKET = 4096
-#: Numbers of hot buckets up to which they are sent to all tasks, 12 bytes each.
+#: Rows up to which a small table of hot buckets or hashes is sent to all tasks, some 20 bytes each.
 HOT_SENT = 100_000
+#: Vectors of a cell of neighbouring buckets, which one task searches.
+CELL_ROWS = 20_000
+#: Probes of a query in a table, at most, before more tables are taken.
+MOST_PROBES = 512
+#: Pairs whose products are taken at once.
+PAIRS_AT_ONCE = 200_000
 
 
 def padded(dim: int) -> int:
@@ -95,29 +109,21 @@ class Plan:
 
     @staticmethod
     def of(vectors: int, dim: int, cosine: float, recall: float = 0.99, probes: int = 2, bucket: int = 8) -> Plan:
-        d, bits, widths = padded(dim), max(1.0, np.log2(max(vectors, 2) / bucket)), []
-        while bits > 0.5 or not widths:
-            w = int(min(d, max(2, 2 ** round(bits - 1))))
-            widths.append(w)
-            bits -= np.log2(2 * w)
-        rng = np.random.default_rng(7)
-        a, b = rng.standard_normal((2, 3000, dim))
-        a /= np.linalg.norm(a, axis=1)[:, None]
-        b -= (b * a).sum(1)[:, None] * a
-        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1)[:, None]
-        met = Plan(tuple(widths), 4, probes).meets(a.astype(np.float32), b.astype(np.float32))
+        widths = axis_widths(max(1.0, np.log2(max(vectors, 2) / bucket)), padded(dim))
+        a, b = random_pairs(np.random.default_rng(7), 3000, dim, cosine)
+        met = Plan(widths, 4, probes).meets(a, b)
         tables = int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(met, 1e-4), 0.999))))
-        return Plan(tuple(widths), max(3, tables), probes)
+        return Plan(widths, max(3, tables), probes)
 
     def meets(self, a: np.ndarray, b: np.ndarray) -> float:
         """Share of rows of a and b that share a bucket of one table, one of them in its own bucket."""
         ka, kb = self.keys(a), self.keys(b)
         return float(((ka[:, :, :1] == kb).any(2) | (kb[:, :, :1] == ka).any(2)).mean())
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
+    def keys(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
         """Buckets (rows, tables, probes) of unit vectors, the own bucket first."""
-        n, k = len(x), len(self.widths)
-        out = np.empty((n, self.tables, self.probes), np.int64)
+        n, k, probes = len(x), len(self.widths), probes or self.probes
+        out = np.empty((n, self.tables, probes), np.int64)
         for t in range(self.tables):
             parts = [nearest_axes(x, t * 64 + j, w) for j, w in enumerate(self.widths)]
             weight = np.ones(k, np.int64)
@@ -125,16 +131,83 @@ class Plan:
                 weight[j] = weight[j + 1] * 2 * self.widths[j + 1]
             own = sum(p[0][:, 0] * w for p, w in zip(parts, weight))
             out[:, t, 0] = own
-            if self.probes > 1:
+            if probes > 1:
                 # The nearest other buckets differ in one axis, where the next axis costs least.
                 cost = np.concatenate([p[1][:, :1] - p[1][:, 1:] for p in parts], 1)
                 change = np.concatenate([(p[0][:, 1:] - p[0][:, :1]) * w for p, w in zip(parts, weight)], 1)
-                best = np.argsort(cost, 1)[:, : self.probes - 1]
+                best = np.argsort(cost, 1)[:, : probes - 1]
                 out[:, t, 1 : 1 + best.shape[1]] = own[:, None] + np.take_along_axis(change, best, 1)
                 out[:, t, 1 + best.shape[1] :] = own[:, None]
         return out
 
 
+    @property
+    def buckets(self) -> int:
+        """Buckets of a table."""
+        return int(np.prod([2 * w for w in self.widths]))
+
+    def probed(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The ``probes`` buckets (rows, probes) of a table whose axes lie nearest to each unit vector, nearest first."""
+        n, keys, sums = len(x), None, None
+        for j, w in enumerate(self.widths):
+            y = rotate(x, table * 64 + j)[:, :w]
+            axes = np.empty((n, 2 * w), np.float32)
+            axes[:, 0::2], axes[:, 1::2] = y, -y
+            # Only axes on the vector's own side are worth a probe.
+            few = min(w + 1, 2 * w)
+            at = np.argpartition(-axes, few - 1, 1)[:, :few]
+            near = np.take_along_axis(axes, at, 1)
+            if keys is None:
+                keys, sums = at.astype(np.int64), near
+            else:
+                keys = (keys[:, :, None] * (2 * w) + at[:, None, :]).reshape(n, -1)
+                sums = (sums[:, :, None] + near[:, None, :]).reshape(n, -1)
+            if keys.shape[1] > self.probes:
+                best = np.argpartition(-sums, self.probes - 1, 1)[:, : self.probes]
+                keys, sums = np.take_along_axis(keys, best, 1), np.take_along_axis(sums, best, 1)
+        order = np.argsort(-sums, 1, kind="stable")
+        return np.take_along_axis(keys, order, 1)
+
+    @staticmethod
+    def for_nearest(vectors: int, dim: int, k: int, recall: float = 0.92, bucket: int = 8) -> Plan:
+        """Tables and probes that find the k-th nearest of so many vectors with this probability if they lie at random, the
+        hardest case: its cosine is then the k / vectors quantile of random ones. Closer neighbours are found more surely."""
+        share = min(0.5, max(k, 1) / max(vectors, 2))
+        cosine = min(0.9, NormalDist().inv_cdf(1 - share) / np.sqrt(dim))
+        rng = np.random.default_rng(9)
+        a, b = random_pairs(rng, 1000, dim, cosine)
+        widths = axis_widths(max(1.0, np.log2(max(vectors, 2) / bucket)), padded(dim))
+        most = Plan(widths, 2, min(MOST_PROBES, int(np.prod([2 * w for w in widths]))))
+        own = most.keys(b, 1)[:, :, 0]
+        # The place of the neighbour's bucket in the query's order of probes, over two tables.
+        places = np.concatenate([np.where((hit := most.probed(a, t) == own[:, t, None]).any(1), hit.argmax(1), most.probes) for t in range(2)])
+        for tables in (4, 6, 8, 12, 16, 24, 32):
+            needed = 1 - (1 - recall) ** (1 / tables)
+            if (places < most.probes).mean() >= needed:
+                return Plan(widths, tables, int(np.sort(places)[min(len(places) - 1, int(np.ceil(needed * len(places))))]) + 1)
+        return Plan(widths, 32, most.probes)
+
+
+def random_pairs(rng: np.random.Generator, n: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at a cosine."""
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(1)[:, None] * a
+    norm = np.linalg.norm(b, axis=1)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.where(norm > 0, norm, 1)
+    return a.astype(np.float32), b.astype(np.float32)
+
+
+def axis_widths(bits: float, d: int) -> tuple[int, ...]:
+    """Dimensions of the axes of a bucket number of about so many bits."""
+    widths: list[int] = []
+    while bits > 0.5 or not widths:
+        w = int(min(d, max(2, 2 ** round(bits - 1))))
+        widths.append(w)
+        bits -= np.log2(2 * w)
+    return tuple(widths)
+
+
 def sketch(x: np.ndarray) -> np.ndarray:
     """SKETCH_BITS signs of random projections of each row, as 64-bit numbers."""
     planes = np.random.default_rng(11).standard_normal((x.shape[1], SKETCH_BITS)).astype(np.float32)
@@ -159,9 +232,9 @@ def usable_vectors(entries: DataFrame, states: DataFrame) -> DataFrame:
     return rows.join(models, ["ns", "field_name"]).select("vec_id", "model", F.col("vec").cast("array<float>").alias("vec"))
 
 
-def matrices(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matrices(batch: pa.RecordBatch | pa.Table, name: str = "vec") -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, unit vectors) of a batch for each dimension in it."""
-    column = batch.column(batch.schema.get_field_index("vec"))
+    column = batch.column(batch.schema.get_field_index(name))
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     lengths = np.diff(offsets)
@@ -193,10 +266,23 @@ def hashed(classes: DataFrame, plans: dict[int, Plan]) -> DataFrame:
     return classes.mapInArrow(rows, f"id bigint, model string, dim int, {sketches}, buckets array<bigint>")
 
 
+def one_vector_an_id(vectors: DataFrame) -> DataFrame:
+    """(vec_id, model, vec) with a row a vec_id; the shuffle by vec_id is the one that later joins on it use again."""
+    best = vectors.groupBy("vec_id").agg(F.max(F.struct("model", "vec")).alias("v"))
+    return best.select("vec_id", "v.model", "v.vec")
+
+
+def sizes(vectors: DataFrame) -> list[tuple[str, int, int]]:
+    """(model, dimension, rows); a row a model and dimension comes to the driver."""
+    return [tuple(r) for r in vectors.groupBy("model", F.size("vec").alias("dim")).count().collect()]
+
+
 def plans_for(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> dict[int, Plan]:
-    """A plan by dimension, for the model that has most vectors of it; a row a model and dimension comes to the driver."""
-    counts = vectors.groupBy("model", F.size("vec").alias("dim")).count().groupBy("dim").agg(F.max("count")).collect()
-    return {dim: Plan.of(n, dim, cosine, recall, probes) for dim, n in counts}
+    """A plan by dimension, for the model that has most vectors of it."""
+    most: dict[int, int] = {}
+    for _, dim, n in sizes(vectors):
+        most[dim] = max(n, most.get(dim, 0))
+    return {dim: Plan.of(n, dim, cosine, recall, probes) for dim, n in most.items()}
 
 
 def entered_rows(rows: DataFrame, probes: int) -> DataFrame:
@@ -216,8 +302,8 @@ def sent(rows: DataFrame) -> DataFrame | None:
 
 
 def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
-    """(hot, blocks) of the buckets that more than HOT_BUCKET ids are entered in, None if there are none; no blocks for a
-    bucket that is nobody's own one."""
+    """(hot, blocks) of the buckets that more than HOT_BUCKET different ids are entered in, None if there are none; no
+    blocks for a bucket that is nobody's own one."""
     entered = entered_rows(rows, probes).select("key", "id", "own")
     many = sent(entered.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select(F.col("key").alias("hot")))
     if many is None:
@@ -229,103 +315,244 @@ def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
 
 
 def candidate_pairs(rows: DataFrame, probes: int, cosine: float, hot: DataFrame | None = None) -> DataFrame:
-    """(a, b) of the ids that share a bucket, one of them as its own, and whose sketches allow the cosine; a < b.
-
-    A bucket may hold any share of the rows: the ids of one over the bound are cut into blocks, and every two blocks, and
-    each block with itself, are joined under a key of their own, so that all pairs of the bucket still meet, once each.
-    """
+    """(a, b) of the ids that share a bucket which is not hot, one of them as its own, and whose sketches allow the cosine;
+    a < b."""
     entered = entered_rows(rows, probes)
     own, unlike = F.col("a.own") | F.col("b.own"), reduce(add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
-    alike = own & (unlike <= most_unlike(cosine))
-
     if hot is not None:
-        entered = entered.join(hot, F.col("key") == F.col("hot"), "left")
-        crowd = entered.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        entered = entered.where("hot is null")
-    entered = entered.select("key", "id", *SKETCH, "own")
-    met = entered.alias("a").join(entered.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & alike)
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    if hot is not None:
-        # The lesser block is at the left, so a row stands there with each block from its own on, at the right with those up to it.
-        cell = lambda low, high: F.xxhash64("key", low, high).alias("key")
-        left = crowd.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(cell("block", "other"), "id", *SKETCH, "own", "block")
-        right = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select(cell("other", "block"), "id", *SKETCH, "own", "block")
-        met = left.alias("a").join(right.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & ((F.col("a.block") < F.col("b.block")) | (F.col("a.id") < F.col("b.id"))) & alike)
-        pairs = pairs.unionAll(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")))
-    return pairs.distinct()
+        entered = entered.join(hot, F.col("key") == F.col("hot"), "left_anti")
+    met = entered.alias("a").join(entered.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & own & (unlike <= most_unlike(cosine)))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def similar_pairs(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> DataFrame:
-    """(vec_id_a, vec_id_b), vec_id_a < vec_id_b: the pairs of one model with at least this cosine.
+def hot_pairs(rows: DataFrame, classes: DataFrame, probes: int, cosine: float, hot: DataFrame) -> DataFrame:
+    """(a, b) of the ids that share a hot bucket and have the cosine; a < b.
 
-    vectors: as from usable_vectors. Every pair at the cosine itself is found with probability ``recall`` or more and then
-    exactly checked; copies of one vector are found without fail.
+    The ids of a hot bucket are cut into blocks of about HOT_BUCKET, and every two blocks, and each with itself, are
+    multiplied in a task of their own, so all pairs of the bucket meet, whatever share of the rows it holds.
+    """
+    crowd = entered_rows(rows, probes).join(hot.where("blocks > 0"), F.col("key") == F.col("hot")).select("key", "id", "blocks")
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "vec"), "id")
+    # The lesser block is at the left, so a row stands there with each block from its own on, at the right with those up to it.
+    left = crowd.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("key", F.col("block").alias("low"), F.col("other").alias("high"), "id", "vec")
+    right = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("key", F.col("other").alias("low"), F.col("block").alias("high"), "id", "vec").toDF("key_b", "low_b", "high_b", "id_b", "vec_b")
+
+    def products(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(a) and len(b):
+            (_, x), (_, y) = next(matrices(a)), next(matrices(b, "vec_b"))
+            ia, ib = a.column("id").to_numpy(), b.column("id_b").to_numpy()
+            for at in range(0, len(x), 1024):
+                # In single precision here, with room for rounding; the pairs are checked in double precision afterwards.
+                r, c = np.nonzero(x[at : at + 1024] @ y.T >= cosine - 1e-4)
+                out.append((ia[at + r], ib[c]))
+        p, q = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        return pa.table({"a": low[low < high], "b": high[low < high]})
+
+    return left.groupBy("key", "low", "high").cogroup(right.groupBy("key_b", "low_b", "high_b")).applyInArrow(products, "a bigint, b bigint").distinct()
+
+
+def similar_classes(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), members (id, vec_id)): pairs of representatives with at least this cosine, a < b, and the further ids
+    of each representative's vector.
+
+    vectors: as from usable_vectors. A class is the rows of one model with the same vector, its representative the least
+    vec_id; a vector without copies represents itself and is no member. Every pair at the cosine itself is found with
+    probability ``recall`` or more and then exactly checked; copies are found without fail.
     """
     plans = plans_for(vectors, cosine, recall, probes)
-    # A class of bitwise equal vectors of a model is one row until its members are put back at the end.
-    vectors = vectors.withColumn("id", F.xxhash64("model", "vec"))
-    classes = vectors.groupBy("id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
+    kept = one_vector_an_id(vectors)
+    # Rows whose hash nobody shares have no copies; only the others are grouped by the vectors themselves.
+    hashes = vectors.select("vec_id", F.xxhash64("model", "vec").alias("h"))
+    shared = sent(hashes.groupBy("h").agg((F.min("vec_id") != F.max("vec_id")).alias("many")).where("many").select("h"))
+    members = vectors.select("vec_id", F.col("vec_id").alias("id")).limit(0)
+    classes = kept.select(F.col("vec_id").alias("id"), "model", "vec")
+    if shared is not None:
+        copied = kept.withColumn("h", F.xxhash64("model", "vec")).join(shared, "h", "left_semi")
+        firsts = copied.groupBy("h", "model", "vec").agg(F.min("vec_id").alias("id"))
+        members = copied.join(firsts, ["h", "model", "vec"]).where("vec_id <> id").select("id", "vec_id")
+        members = cut(members)
+        classes = classes.join(members.select(F.col("vec_id").alias("id")), "id", "left_anti")
     # Hashing twice is cheaper than keeping the hashes: counting moves no vectors, and the rest shares one shuffle of them.
-    hot = hot_buckets(hashed(vectors.select("id", "model", "vec"), plans), probes)
-    pairs = checked(candidate_pairs(hashed(classes, plans), probes, cosine, hot), classes, cosine)
-    members = vectors.select("id", "vec_id").distinct()
-    a, b = members.toDF("a", "vec_a"), members.toDF("b", "vec_b")
-    found = pairs.join(a, "a").join(b, "b").select("vec_a", "vec_b")
-    within = members.join(members.toDF("id", "other"), "id").where("vec_id < other").select("vec_id", "other")
-    return found.unionAll(within).select(F.least("vec_a", "vec_b").alias("vec_id_a"), F.greatest("vec_a", "vec_b").alias("vec_id_b")).where("vec_id_a < vec_id_b").distinct()
+    hot = hot_buckets(hashed(vectors.select(F.xxhash64("model", "vec").alias("id"), "model", "vec"), plans), probes)
+    found = hashed(classes, plans)
+    pairs = candidate_pairs(found, probes, cosine, hot)
+    if hot is not None:
+        pairs = pairs.unionAll(hot_pairs(found, kept.withColumnRenamed("vec_id", "id"), probes, cosine, hot)).distinct()
+    return checked(pairs, kept.withColumnRenamed("vec_id", "id"), cosine), members
+
+
+def similar_pairs(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> DataFrame:
+    """(vec_id_a, vec_id_b), vec_id_a < vec_id_b: the pairs of similar_classes, expanded to all ids, those of copies too."""
+    pairs, members = similar_classes(vectors, cosine, recall, probes)
+    all_ids = members.unionAll(members.select("id", F.col("id").alias("vec_id")).distinct())
+    a, b = all_ids.toDF("a", "vec_a"), all_ids.toDF("b", "vec_b")
+    found = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("vec_a", "a").alias("a"), F.coalesce("vec_b", "b").alias("b"))
+    within = all_ids.join(all_ids.toDF("id", "other"), "id").where("vec_id < other").select("vec_id", "other")
+    return found.unionAll(within).select(F.least("a", "b").alias("vec_id_a"), F.greatest("a", "b").alias("vec_id_b"))
+
+
+def exact_cosine(va: Column, vb: Column) -> Column:
+    """Cosine of two arrays in double precision."""
+    va, vb = va.cast("array<double>"), vb.cast("array<double>")
+    dot = F.aggregate(F.zip_with(va, vb, lambda x, y: x * y), F.lit(0.0), add)
+    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), add))
+    return dot / (norm(va) * norm(vb))
 
 
 def checked(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
-    """The pairs (a, b) of one model whose vectors have at least the cosine, which is computed in double precision."""
+    """The pairs (a, b) of one model whose vectors have at least the cosine."""
     pair = lambda end: F.struct(F.col(end).alias("id"), "a", "b")
     ends = pairs.select(F.explode(F.array(pair("a"), pair("b"))).alias("e")).select("e.*")
     each = ends.join(classes, "id").groupBy("a", "b").agg(F.min("model").alias("m"), F.max("model").alias("n"), F.max(F.when(F.col("id") == F.col("a"), F.col("vec"))).alias("va"), F.max(F.when(F.col("id") == F.col("b"), F.col("vec"))).alias("vb"))
-    va, vb = F.col("va").cast("array<double>"), F.col("vb").cast("array<double>")
-    dot = F.aggregate(F.zip_with(va, vb, lambda x, y: x * y), F.lit(0.0), add)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), add))
-    return each.where((F.col("m") == F.col("n")) & (dot / (norm(va) * norm(vb)) >= cosine)).select("a", "b")
+    return each.where((F.col("m") == F.col("n")) & (exact_cosine(F.col("va"), F.col("vb")) >= cosine)).select("a", "b")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, probes: int = 3, rows_a_slice: int = 20000, queries_a_block: int = 1000) -> DataFrame:
-    """(vec_id, rank, neighbour, cosine): the k nearest other vectors of each query vector, among all of its model.
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one byte a dimension, scale) of unit vectors."""
+    scale = np.abs(x).max(1) / 127
+    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
+
+
+def binaries(codes: np.ndarray) -> pa.Array:
+    n, d = codes.shape
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * d), pa.py_buffer(np.ascontiguousarray(codes))])
 
-    queries: a stated set of rows of ``vectors``' columns. A table has one axis; a query probes its ``probes`` nearest
-    buckets in every table, and what they hold is reranked by exact cosines. Vectors come in slices of a bounded size,
-    queries in blocks, so a task holds a slice and a block whatever the share of a model.
-    """
-    largest = vectors.groupBy("model").count().agg(F.max("count")).first()[0] or 0
-    slices = max(1, -(-largest // rows_a_slice))
-    kept = vectors.groupBy("vec_id", "model").agg(F.max("vec").alias("vec"))
-    kept = kept.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
-    asked = queries.select(F.col("vec_id").alias("q_id"), F.col("model").alias("q_model"), F.col("vec").alias("q_vec")).groupBy("q_id", "q_model").agg(F.max("q_vec").alias("vec"))
-    asked = asked.withColumn("q_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+CELL = ["model", "dim", "table", "cell"]
+ENTRY = "model string, dim int, table int, cell bigint, id bigint, bucket bigint, scale float, code binary"
+PROBE = "model string, dim int, table int, cell bigint, id bigint, buckets array<bigint>, scale float, code binary"
+
+
+def entries(rows: DataFrame, plans: dict[tuple[str, int], tuple[Plan, int]], probing: bool) -> DataFrame:
+    """A row for each vector and table with its own bucket, or, ``probing``, a row for each vector, table and cell with the
+    buckets that it probes there. rows: (id, model, vec); plans: plan and number of cells by model and dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models = np.array(batch.column("model").to_pylist(), object)
+            ids = batch.column("id").to_numpy()
+            for which, x in matrices(batch) if batch.num_rows else ():
+                for model in np.unique(models[which].astype(str)):
+                    plan, cells = plans[model, x.shape[1]]
+                    some = np.flatnonzero(models[which] == model)
+                    for at in range(0, len(some), 1024):
+                        part = some[at : at + 1024]
+                        own = None if probing else plan.keys(x[part], 1)[:, :, 0]
+                        codes, scale = coded(x[part])
+                        for t in range(plan.tables):
+                            if probing:
+                                buckets = np.sort(plan.probed(x[part], t), 1)
+                                cell = buckets * cells // plan.buckets
+                                first = np.ones(cell.shape, bool)
+                                first[:, 1:] = cell[:, 1:] != cell[:, :-1]
+                                starts = np.flatnonzero(first.ravel())
+                                at_row, at_cell = starts // cell.shape[1], cell.ravel()[starts]
+                                column = pa.ListArray.from_arrays(pa.array(np.append(starts, cell.size).astype(np.int32)), pa.array(buckets.ravel()))
+                            else:
+                                at_row, at_cell = np.arange(len(part)), own[:, t] * cells // plan.buckets
+                                column = pa.array(own[:, t])
+                            n = len(at_row)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([model] * n, pa.string()), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(at_cell), pa.array(ids[which[part]][at_row]), column, pa.array(scale[at_row]), binaries(codes[at_row])],
+                                names=["model", "dim", "table", "cell", "id", "buckets" if probing else "bucket", "scale", "code"])
+
+    return rows.mapInArrow(run, PROBE if probing else ENTRY)
+
+
+def searched(k: int, counting: bool):
+    """A function of a cell's entries and probes: (q, id, near) of the ``k`` nearest entries by their codes in each query's
+    probed buckets or, counting, (q, null, number of entries in them)."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        data = {x.shape[1]: (left.column("vec_id").to_numpy()[rows], x) for rows, x in (matrices(left) if len(left) else ())}
-        for rows, q in matrices(right) if len(right) else ():
-            dim = q.shape[1]
-            if dim not in data:
-                continue
-            ids, x = data[dim]
-            asked_ids = right.column("q_id").to_numpy()[rows]
-            codes = [nearest_axes(x, t, padded(dim), 1)[0][:, 0] for t in range(tables)]
-            for at in range(0, len(q), queries_a_block):
-                some, some_ids = q[at : at + queries_a_block], asked_ids[at : at + queries_a_block]
-                met = np.zeros((len(some), len(x)), bool)
-                for t in range(tables):
-                    probed = np.zeros((len(some), 2 * padded(dim)), bool)
-                    np.put_along_axis(probed, nearest_axes(some, t, padded(dim), probes)[0], True, 1)
-                    met |= probed[:, codes[t]]
-                met &= some_ids[:, None] != ids[None, :]
-                cos = np.where(met, some @ x.T, -2)
-                top = np.argpartition(-cos, min(k, cos.shape[1] - 1), 1)[:, :k] if cos.shape[1] > k else np.tile(np.arange(cos.shape[1]), (len(some), 1))
-                best = np.take_along_axis(cos, top, 1)
-                r, c = np.nonzero(best > -2)
-                out.append((some_ids[r], ids[top[r, c]], best[r, c].astype(np.float64)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"vec_id": columns[0], "neighbour": columns[1], "cosine": columns[2]})
-
-    found = kept.groupBy("model", "slice").cogroup(asked.groupBy("q_model", "q_slice")).applyInArrow(search, "vec_id bigint, neighbour bigint, cosine double")
-    order = Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), F.col("neighbour"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "cosine")
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(left) and len(right):
+            bytes_of = lambda t: np.frombuffer(t.column("code").combine_chunks().buffers()[2], np.int8).reshape(len(t), -1)
+            left = left.sort_by("bucket").combine_chunks()
+            right = right.combine_chunks()
+            held, ids, x, xs = left.column("bucket").to_numpy(), left.column("id").to_numpy(), bytes_of(left), left.column("scale").to_numpy()
+            asked, q, qs = right.column("id").to_numpy(), bytes_of(right), right.column("scale").to_numpy()
+            lists = right.column("buckets").combine_chunks()
+            buckets, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(right)), np.diff(lists.offsets.to_numpy()))
+            low, high = np.searchsorted(held, buckets), np.searchsorted(held, buckets, "right")
+            some = high > low
+            low, size, of = low[some], (high - low)[some], of[some]
+            ends = np.cumsum(size)
+            met = np.bincount(of, size, len(right)).astype(np.int64)
+            if counting:
+                return pa.table({"q": pa.array(asked), "id": pa.nulls(len(right), pa.int64()), "near": pa.array(met.astype(np.float32))})
+            # Probes of one query stand together; they are cut into runs of about PAIRS_AT_ONCE pairs between queries, and
+            # a query that alone meets more is cut as well, its best being taken once more at the end.
+            at = 0
+            while at < len(of):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+                count = size[at:stop]
+                total = int(count.sum())
+                row = np.repeat(low[at:stop] - (np.cumsum(count) - count), count) + np.arange(total)
+                query = np.repeat(of[at:stop], count)
+                at = stop
+                for part in range(0, total, PAIRS_AT_ONCE):
+                    r, w = row[part : part + PAIRS_AT_ONCE], query[part : part + PAIRS_AT_ONCE]
+                    near = np.einsum("ij,ij->i", q[w].astype(np.float32), x[r].astype(np.float32)) * qs[w] * xs[r]
+                    out.append(best_of(w, r, np.where(asked[w] == ids[r], -9, near), k))
+        if not out:
+            return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
+        w, r, near = best_of(*(np.concatenate(c) for c in zip(*out)), k)
+        return pa.table({"q": asked[w], "id": ids[r], "near": near.astype(np.float32)})
+
+    return search
+
+
+def best_of(query: np.ndarray, row: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query; a query itself, marked by -9, is left out."""
+    order = np.lexsort((-near, query))
+    order = order[near[order] > -8]
+    q = query[order]
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    order = order[place < k]
+    return query[order], row[order], near[order]
+
+
+def probed_cells(kept: DataFrame, asked: DataFrame, k: int, recall: float, counting: bool = False) -> tuple[DataFrame, int]:
+    """((q, id, near), tables): what ``searched`` gives for all cells, and the most tables of a plan."""
+    plans = {(m, d): (Plan.for_nearest(n, d, k, recall), max(1, n // CELL_ROWS)) for m, d, n in sizes(kept)}
+    if not plans:
+        return kept.select(F.col("vec_id").alias("q"), F.col("vec_id").alias("id"), F.lit(0.0).cast("float").alias("near")).limit(0), 1
+    rows = entries(kept.select(F.col("vec_id").alias("id"), "model", "vec"), plans, False)
+    probes = entries(asked.select(F.col("vec_id").alias("id"), "model", "vec"), plans, True)
+    # Cells with far more rows than planned, because their buckets are crowded, are cut into blocks that each probe visits.
+    crowded = sent(rows.groupBy(*CELL).count().where(F.col("count") > 2 * CELL_ROWS).select(*CELL, F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks")))
+    rows, probes = rows.withColumn("block", F.lit(0)), probes.withColumn("block", F.lit(0))
+    if crowded is not None:
+        blocks = F.coalesce("blocks", F.lit(1))
+        rows = rows.join(crowded, CELL, "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("blocks")
+        probes = probes.join(crowded, CELL, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    cell = [*CELL, "block"]
+    found = rows.groupBy(*cell).cogroup(probes.groupBy(*cell)).applyInArrow(searched(3 * k, counting), "q bigint, id bigint, near float")
+    return found, max(p.tables for p, _ in plans.values())
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.92) -> DataFrame:
+    """(vec_id, rank, neighbour, cosine): the k nearest other vectors of each query vector, among all of its model.
+
+    queries: a stated set of rows of ``vectors``' columns, which may be all of them. Only vectors of probed buckets are
+    compared; their codes rank them, and the best 3 k of each query are ranked again by exact cosines. ``recall`` is that of the
+    k-th neighbour among vectors without any structure, see Plan.for_nearest. Equal cosines are ordered by vec_id.
+    """
+    kept, asked = one_vector_an_id(vectors), one_vector_an_id(queries)
+    found, tables = probed_cells(kept, asked, k, recall)
+    # A row may come from every table, so that many more are kept until repeated ones are dropped.
+    by_code = Window.partitionBy("q").orderBy(F.col("near").desc(), "id")
+    few = found.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= 3 * k * tables).select("q", "id").distinct()
+    near = few.join(kept.select(F.col("vec_id").alias("id"), "vec"), "id")
+    pairs = near.join(asked.select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec")), "q").select("q", "id", exact_cosine(F.col("vec"), F.col("q_vec")).alias("cosine"))
+    order = Window.partitionBy("q").orderBy(F.col("cosine").desc(), F.col("id"))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("id").alias("neighbour"), "cosine")
+
+
+def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.92) -> DataFrame:
+    """(vec_id, compared): how many entries nearest() compares with each query, one that is met in two tables counted twice."""
+    found, _ = probed_cells(one_vector_an_id(vectors), one_vector_an_id(queries), k, recall, True)
+    return found.groupBy(F.col("q").alias("vec_id")).agg(F.sum("near").cast("bigint").alias("compared"))
