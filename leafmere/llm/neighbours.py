@@ -44,9 +44,7 @@ HOT_SENT = 100_000
 #: Vectors of a cell of neighbouring buckets, which one task searches.
 CELL_ROWS = 20_000
 #: Probes of a query in a table, at most, before more tables are taken.
-MOST_PROBES = 512
-#: Pairs whose products are taken at once.
-PAIRS_AT_ONCE = 200_000
+MOST_PROBES = 1024
 
 
 def padded(dim: int) -> int:
@@ -169,7 +167,7 @@ class Plan:
         return np.take_along_axis(keys, order, 1)
 
     @staticmethod
-    def for_nearest(vectors: int, dim: int, k: int, recall: float = 0.92, bucket: int = 8) -> Plan:
+    def for_nearest(vectors: int, dim: int, k: int, recall: float = 0.86, bucket: int = 4) -> Plan:
         """Tables and probes that find the k-th nearest of so many vectors with this probability if they lie at random, the
         hardest case: its cosine is then the k / vectors quantile of random ones. Closer neighbours are found more surely."""
         share = min(0.5, max(k, 1) / max(vectors, 2))
@@ -482,39 +480,22 @@ def searched(k: int, counting: bool):
             met = np.bincount(of, size, len(right)).astype(np.int64)
             if counting:
                 return pa.table({"q": pa.array(asked), "id": pa.nulls(len(right), pa.int64()), "near": pa.array(met.astype(np.float32))})
-            # Probes of one query stand together; they are cut into runs of about PAIRS_AT_ONCE pairs between queries, and
-            # a query that alone meets more is cut as well, its best being taken once more at the end.
-            at = 0
-            while at < len(of):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-                count = size[at:stop]
-                total = int(count.sum())
-                row = np.repeat(low[at:stop] - (np.cumsum(count) - count), count) + np.arange(total)
-                query = np.repeat(of[at:stop], count)
-                at = stop
-                for part in range(0, total, PAIRS_AT_ONCE):
-                    r, w = row[part : part + PAIRS_AT_ONCE], query[part : part + PAIRS_AT_ONCE]
-                    near = np.einsum("ij,ij->i", q[w].astype(np.float32), x[r].astype(np.float32)) * qs[w] * xs[r]
-                    out.append(best_of(w, r, np.where(asked[w] == ids[r], -9, near), k))
-        if not out:
-            return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
-        w, r, near = best_of(*(np.concatenate(c) for c in zip(*out)), k)
-        return pa.table({"q": asked[w], "id": ids[r], "near": near.astype(np.float32)})
+            x = x.astype(np.float32) * xs[:, None]
+            ends = np.searchsorted(of, np.arange(len(right) + 1))
+            for i in np.flatnonzero(met):
+                start, count = low[ends[i] : ends[i + 1]], size[ends[i] : ends[i + 1]]
+                rows = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(met[i])
+                near = x[rows] @ q[i].astype(np.float32)
+                near[ids[rows] == asked[i]] = -np.inf
+                best = np.argpartition(-near, k - 1)[:k] if len(near) > k else np.arange(len(near))
+                best = best[near[best] > -np.inf]
+                out.append((np.full(len(best), asked[i]), ids[rows[best]], near[best] * qs[i]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"q": columns[0], "id": columns[1], "near": columns[2].astype(np.float32)})
 
     return search
 
 
-def best_of(query: np.ndarray, row: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of each query; a query itself, marked by -9, is left out."""
-    order = np.lexsort((-near, query))
-    order = order[near[order] > -8]
-    q = query[order]
-    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
-    order = order[place < k]
-    return query[order], row[order], near[order]
-
-
 def probed_cells(kept: DataFrame, asked: DataFrame, k: int, recall: float, counting: bool = False) -> tuple[DataFrame, int]:
     """((q, id, near), tables): what ``searched`` gives for all cells, and the most tables of a plan."""
     plans = {(m, d): (Plan.for_nearest(n, d, k, recall), max(1, n // CELL_ROWS)) for m, d, n in sizes(kept)}
@@ -534,7 +515,7 @@ def probed_cells(kept: DataFrame, asked: DataFrame, k: int, recall: float, count
     return found, max(p.tables for p, _ in plans.values())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.92) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.86) -> DataFrame:
     """(vec_id, rank, neighbour, cosine): the k nearest other vectors of each query vector, among all of its model.
 
     queries: a stated set of rows of ``vectors``' columns, which may be all of them. Only vectors of probed buckets are
@@ -552,7 +533,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("id").alias("neighbour"), "cosine")
 
 
-def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.92) -> DataFrame:
+def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.86) -> DataFrame:
     """(vec_id, compared): how many entries nearest() compares with each query, one that is met in two tables counted twice."""
     found, _ = probed_cells(one_vector_an_id(vectors), one_vector_an_id(queries), k, recall, True)
     return found.groupBy(F.col("q").alias("vec_id")).agg(F.sum("near").cast("bigint").alias("compared"))

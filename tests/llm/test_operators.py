@@ -239,7 +239,6 @@ def test_nearest_compares_few_and_crowded_cells_lose_nothing(spark, monkeypatch)
     # Among vectors at random far fewer than all are compared in the tables together; a clump is compared with itself.
     assert np.mean([met[q] for q in met if q >= n // 3]) < 0.5 * n and set(met) == set(true)
     monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
-    monkeypatch.setattr(neighbours, "PAIRS_AT_ONCE", 1000)
     assert recall()[0] == plain
     monkeypatch.setattr(neighbours, "HOT_SENT", 0)
     assert recall()[0] == plain
