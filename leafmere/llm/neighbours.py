@@ -496,15 +496,20 @@ def searched(k: int, counting: bool):
     return search
 
 
-def probed_cells(kept: DataFrame, asked: DataFrame, k: int, recall: float, counting: bool = False) -> tuple[DataFrame, int]:
-    """((q, id, near), tables): what ``searched`` gives for all cells, and the most tables of a plan."""
-    plans = {(m, d): (Plan.for_nearest(n, d, k, recall), max(1, n // CELL_ROWS)) for m, d, n in sizes(kept)}
+def probed_cells(vectors: DataFrame, kept: DataFrame, asked: DataFrame, k: int, recall: float, counting: bool = False) -> tuple[DataFrame, int]:
+    """((q, id, near), tables): what ``searched`` gives for all cells, and the most tables of a plan.
+
+    kept: ``vectors``, once an id. Sizes are those of ``vectors``, so that counting moves none of them; repeated rows only make
+    for more blocks.
+    """
+    plans = {(m, d): (Plan.for_nearest(n, d, k, recall), max(1, n // CELL_ROWS)) for m, d, n in sizes(vectors)}
     if not plans:
         return kept.select(F.col("vec_id").alias("q"), F.col("vec_id").alias("id"), F.lit(0.0).cast("float").alias("near")).limit(0), 1
     rows = entries(kept.select(F.col("vec_id").alias("id"), "model", "vec"), plans, False)
     probes = entries(asked.select(F.col("vec_id").alias("id"), "model", "vec"), plans, True)
     # Cells with far more rows than planned, because their buckets are crowded, are cut into blocks that each probe visits.
-    crowded = sent(rows.groupBy(*CELL).count().where(F.col("count") > 2 * CELL_ROWS).select(*CELL, F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks")))
+    raw = entries(vectors.select(F.col("vec_id").alias("id"), "model", "vec"), plans, False)
+    crowded = sent(raw.groupBy(*CELL).count().where(F.col("count") > 2 * CELL_ROWS).select(*CELL, F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks")))
     rows, probes = rows.withColumn("block", F.lit(0)), probes.withColumn("block", F.lit(0))
     if crowded is not None:
         blocks = F.coalesce("blocks", F.lit(1))
@@ -523,7 +528,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     k-th neighbour among vectors without any structure, see Plan.for_nearest. Equal cosines are ordered by vec_id.
     """
     kept, asked = one_vector_an_id(vectors), one_vector_an_id(queries)
-    found, tables = probed_cells(kept, asked, k, recall)
+    found, tables = probed_cells(vectors, kept, asked, k, recall)
     # A row may come from every table, so that many more are kept until repeated ones are dropped.
     by_code = Window.partitionBy("q").orderBy(F.col("near").desc(), "id")
     few = found.withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= 3 * k * tables).select("q", "id").distinct()
@@ -535,5 +540,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
 
 def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.86) -> DataFrame:
     """(vec_id, compared): how many entries nearest() compares with each query, one that is met in two tables counted twice."""
-    found, _ = probed_cells(one_vector_an_id(vectors), one_vector_an_id(queries), k, recall, True)
+    found, _ = probed_cells(vectors, one_vector_an_id(vectors), one_vector_an_id(queries), k, recall, True)
     return found.groupBy(F.col("q").alias("vec_id")).agg(F.sum("near").cast("bigint").alias("compared"))
