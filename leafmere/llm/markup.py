@@ -1,11 +1,15 @@
 """Markup residue: flat text blocks, classified by trees over word counts, link densities and signs, and clean text.
 
 Every non-blank line of a text is a block. Its features are its word count and link density and those of the blocks
-before and after it, and how many signs of HTML, Markdown, wiki and LaTeX source it holds. Two decision trees, grown on
-the small labelled table of markup_table.py, give a block's kind and whether it holds markup source. The converter then
-takes line signs and entities away only from blocks that hold some, by these signs and not by the kind; constructs over
-several lines and tags are taken wherever they stand. It keeps headings and list items on lines of their own (items begin
-with a bullet), code and formulas verbatim and table cells apart by tabs.
+before and after it, the signs of HTML, Markdown, wiki and LaTeX source in it and beside it, and how much of it and of its
+neighbours looks like code. Two decision trees, grown on the labelled texts of markup_table.py, give a block's kind and
+whether it holds markup source. Signs that source shares with prose and code (a leading # or -, __name__, a[b](c), x<y>,
+backticks) are features of their own, which the tree weighs by the neighbours.
+
+The converter takes line and inline signs and entities away only from blocks that hold source, and leaves those of kind
+code as they are; tags and constructs over several lines are taken wherever they stand. It keeps headings and list items on
+lines of their own (items begin with a bullet under their indent or with their number), code verbatim, formulas in plain
+signs, table cells apart by tabs, and images by their description.
 
 Defined cases: a null text gives null results; an empty or blank text is empty and clean. Texts of any length are read
 whole, block by block. Repeated rows are treated alike; other columns stay as they are.
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmere.llm.markup_table import BLOCKS
+from leafmere.llm.markup_table import texts
 
 KINDS = ("prose", "heading", "list", "code", "formula", "table", "scaffold")
 # Element names of HTML and of wiki text.
@@ -81,8 +85,18 @@ CODE_SIGNS = re.compile(r"[;{}()=<>+*\[\]&|]|\bdef\b|\breturn\b|\bassert\b")
 WORDS = re.compile(r"\w+")
 LINKED = re.compile(r"\[([^\[\]\n]*)\]\([^()\n]*\)|\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]|<a\b[^<>]*>([^<]*)</a>", re.I)
 PROSE_WORD = re.compile(r"(?<![\w.])[A-Za-z]{3,}(?=[\s,.;:!?]|$)")
-FAMILIES = ("html", "line", "item", "inline", "tex", "weak")
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", *FAMILIES, "code_share", "prose_words", "stop", "bullet", "tabs", "strong", "formula", "head", "list", "table", "code_tag", "math")
+#: Signs that prose and code hold, too.
+SHARED = ("hash", "item", "quote", "dunder", "call", "generic", "template_text", "counted", "tie", "tex_quote", "tex_row", "rule")
+SHARED_SIGNS = {"item": "item", "quote": "quote", "rule": "rule", "tie": "tie", "tex_quote": "tex_quote", "tex_row": "tex_row"}
+# Names that programs put between double underscores.
+SPECIAL_NAMES = set("""abs add aenter aexit aiter all and anext annotations array await bases bool builtins bytes call ceil contains deepcopy defaults del
+delattr delete delitem dict dir divmod doc enter eq exit file float floor format func ge get getattr getattribute getitem getstate globals
+gt hash iadd init instancecheck int invert iter kwdefaults le len lshift lt main metaclass mod mro mul name ne neg new next or pos
+post_init pow prepare qualname radd repr reversed round set set_name setattr setitem setstate sizeof slots spec str sub subclasshook
+subclasses truediv weakref wrapped xor""".split())
+CONTEXT = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "signs_before", "signs_after", "code_share", "code_before", "code_after")
+FEATURES = (*CONTEXT, "sure", *SHARED, "number_first", "capital", "prose_words", "stop", "bullet", "tabs", "formula", "head", "list", "table", "code_tag", "math", "indent")
+VOID = re.compile(r"<(?:br|hr|img|input|link|meta)\b", re.I)
 
 
 def signs_of(line: str) -> list[tuple[str, int, int]]:
@@ -99,41 +113,72 @@ def signs_of(line: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def shared_sign(name: str, line: str, start: int, end: int) -> str | None:
+    """Which sign that prose and code hold as well this one may be; None where it can only be source."""
+    found = line[start:end]
+    if name == "md_heading":
+        return "hash" if re.match(r"\s*# *[^\W\dA-Z]", found) else None
+    if name in SHARED_SIGNS:
+        return SHARED_SIGNS[name]
+    if name == "strong" and found[:2] == "__" and found.strip("_") in SPECIAL_NAMES:
+        return "dunder"
+    if name == "link" and start and (line[start - 1].isalnum() or line[start - 1] in "_)]") and found[0] == "[":
+        return "call"
+    if name == "tag" and start and (line[start - 1].isalnum() or line[start - 1] in "_>") and re.fullmatch(r"<\w+>", found) and not VOID.match(found) and f"</{found[1:-1]}".lower() not in line.lower():
+        return "generic"
+    if name == "tick" and ("${" in found or re.search(r"[=(+,]\s*$", line[:start]) and re.match(r"\s*[;),+]", line[end:])):
+        return "template_text"
+    if name == "command" and re.match(r"\\[A-Za-z]\{\d", line[start : end + 1]):
+        return "counted"
+    return None
+
+
 def own_features(line: str, signs: list[tuple[str, int, int]]) -> dict[str, float]:
     words = len(WORDS.findall(line))
     linked = sum(len(WORDS.findall(m[1] or m[2] or m[3] or "")) for m in LINKED.finditer(line)) if signs else 0
     f = dict.fromkeys(FEATURES, 0.0)
     f["words"], f["link_density"] = words, linked / max(words, 1)
     names = {s[0] for s in signs}
-    for name, _, _ in signs:
-        f[SIGNS[name][0]] += 1
+    kinds = [shared_sign(*found[:1], line, *found[1:]) for found in signs]
+    # A shared sign within a sure one is part of it, and so is what a template literal holds.
+    spans = [(a, b) for (_, a, b), k in zip(signs, kinds) if k is None]
+    literals = [(a, b) for (_, a, b), k in zip(signs, kinds) if k == "template_text"]
+    for (_, start, end), kind in zip(signs, kinds):
+        if not any(a <= start and end <= b and (a, b) != (start, end) for a, b in (literals if kind is None else spans)):
+            f[kind or "sure"] += 1
     stripped = line.strip()
-    # Weak signs, which other texts hold too, count for themselves only.
-    f["strong"] = sum(f[k] for k in FAMILIES if k != "weak")
     f["code_share"] = len(CODE_SIGNS.findall(line)) / max(len(stripped), 1)
     f["prose_words"] = len(PROSE_WORD.findall(line))
+    first = re.match(r"\W*(.?)", stripped)[1]
+    f["number_first"], f["capital"] = float(first.isdigit()), float(first.isupper())
+    f["indent"] = float(bool(re.match(r"(?: {4}|\t)\s*\S", line)))
     f["stop"] = float(stripped[-1:] in ".!?:,")
     f["bullet"] = float(stripped[:1] == "•")
     f["tabs"] = line.count("\t")
     f["formula"] = float(bool(re.search(r"[\^=<>/]|_\w", line)) and f["prose_words"] <= 2 and not stripped.endswith(";"))
     f["head"] = float(bool(names & {"md_heading", "wiki_heading"}) or bool(re.match(rf"\s*{HEAD_TEX}\{{|\s*<h[1-6]\b", line, re.I)))
-    f["list"] = float(bool(names & {"item", "task"}) or bool(re.match(r"\s*(?:\\item\b|<li\b)", line, re.I)))
+    f["list"] = float(bool(names & {"item", "task"}) or bool(re.match(r"\s*(?:\\item\b|<li\b|\d{1,3}\.[ \t])", line, re.I)))
     f["table"] = float(bool(names & {"table_row", "table_rule", "wiki_table", "tex_row"}) or bool(re.match(r"\s*<(?:table|tr)\b", line, re.I)))
     f["code_tag"] = float(bool(re.search(r"</?(?:pre|code|syntaxhighlight)\b", line, re.I)))
     f["math"] = float("tex_math" in names or "<math" in line)
     return f
 
 
-def block_features(lines: list[str], signs: list[list[tuple[str, int, int]]] | None = None) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
-    """Features of the blocks of one text, with those of their neighbours, and their signs."""
+def block_features(lines: list[str], signs: list[list[tuple[str, int, int]]] | None = None, only: list[int] | None = None) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
+    """Features of the blocks of one text, or of those at the places ``only``, with those of their neighbours, and all signs."""
     signs = signs if signs is not None else [signs_of(x) for x in lines]
-    own = [own_features(x, s) for x, s in zip(lines, signs)]
-    for i, f in enumerate(own):
-        if i:
-            f["words_before"], f["links_before"] = own[i - 1]["words"], own[i - 1]["link_density"]
-        if i + 1 < len(own):
-            f["words_after"], f["links_after"] = own[i + 1]["words"], own[i + 1]["link_density"]
-    return np.array([[f[k] for k in FEATURES] for f in own]).reshape(len(own), len(FEATURES)), signs
+    places = range(len(lines)) if only is None else only
+    own = {j: own_features(lines[j], signs[j]) for j in sorted({j for i in places for j in (i - 1, i, i + 1) if 0 <= j < len(lines)})}
+    rows = []
+    for i in places:
+        f = dict(own[i])
+        for side, j in (("before", i - 1), ("after", i + 1)):
+            if j in own:
+                g = own[j]
+                f[f"words_{side}"], f[f"links_{side}"], f[f"code_{side}"] = g["words"], g["link_density"], g["code_share"]
+                f[f"signs_{side}"] = len(signs[j])
+        rows.append([f[k] for k in FEATURES])
+    return np.array(rows).reshape(len(rows), len(FEATURES)), signs
 
 
 class Tree:
@@ -180,11 +225,29 @@ class Tree:
         return out
 
 
+    def described(self, names: tuple[str, ...], answers: tuple[str, ...], at: int = 0, indent: str = "") -> str:
+        """The tree as text, a line a node."""
+        node = self.nodes[at]
+        if len(node) == 1:
+            return f"{indent}{answers[node[0]]}\n"
+        return f"{indent}{names[node[0]]} <= {node[1]:.3g}\n" + self.described(names, answers, node[2], indent + "  ") + f"{indent}else\n" + self.described(names, answers, node[3], indent + "  ")
+
+    def used(self, names: tuple[str, ...]) -> set[str]:
+        return {names[n[0]] for n in self.nodes if len(n) > 1}
+
+
+@lru_cache(maxsize=1)
+def labelled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, kinds, whether they hold source) of the blocks of the labelled table."""
+    x = np.concatenate([block_features([b[2] for b in t])[0] for t in texts()])
+    return x, np.array([KINDS.index(b[0]) for t in texts() for b in t]), np.array([int(b[1]) for t in texts() for b in t])
+
+
 @lru_cache(maxsize=1)
 def trees() -> tuple[Tree, Tree]:
     """(kind of a block, whether it holds markup source), grown once a process."""
-    x, _ = block_features([b[2] for b in BLOCKS])
-    return Tree(x, np.array([KINDS.index(b[0]) for b in BLOCKS])), Tree(x, np.array([b[1] for b in BLOCKS]))
+    x, kinds, marked = labelled()
+    return Tree(x, kinds), Tree(x, marked)
 
 
 def blocks(text: str) -> list[str]:
@@ -202,12 +265,14 @@ def classified(text: str) -> list[tuple[str, bool, str]]:
 
 
 def has_markup(text: str) -> bool:
-    """Whether a block of the text holds markup source; a text without any sign needs no features."""
+    """Whether a block of the text holds markup source. The tree calls no block without signs source, whatever its
+    neighbours (its first splits are by signs), so only blocks with signs are asked about."""
     if not SPECIAL.search(text):
         return False
     lines = blocks(text)
     signs = [signs_of(x) for x in lines]
-    return any(signs) and bool(trees()[1].predict(block_features(lines, signs)[0]).any())
+    some = [i for i, s in enumerate(signs) if s]
+    return bool(some) and bool(trees()[1].predict(block_features(lines, signs, some)[0]).any())
 
 
 BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|body|caption|center|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|section|table|tbody|tfoot|thead|title|tr|ul)\b[^<>]*>", re.I)
@@ -217,10 +282,16 @@ CODE_BLOCK = re.compile(
 
 
 def plain_math(tex: str) -> str:
-    """A formula without delimiters; fractions, roots and relations in plain signs."""
-    out = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", lambda m: "/".join(p if re.fullmatch(r"\w+", p) else f"({p})" for p in (m[1], m[2])).replace("/", " / "), tex.strip())
-    out = re.sub(r"\\sqrt\{([^{}]*)\}", r"sqrt(\1)", out)
-    out = re.sub(r"\\sum_(\w) ", "sum of ", out)
+    """A formula without delimiters; fractions, roots and relations in plain signs. Nested ones are taken from the inside out."""
+    bare = lambda p: p.strip() if re.fullmatch(r"\s*(?:[\w.]+|\([^()]*\))\s*", p) else f"({p.strip()})"
+    out, before = tex.strip(), None
+    while out != before:
+        before = out
+        out = re.sub(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", lambda m: f"{bare(m[1])} / {bare(m[2])}", out)
+        out = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"sqrt(\1)", out)
+        out = re.sub(r"\\(?:text|mathrm|mathbf|mathit|operatorname)\s*\{([^{}]*)\}", r"\1", out)
+        # Braces of an index or exponent that hold no command any more, so that what they group can be taken as well.
+        out = re.sub(r"([_^])\{([^{}\\]*)\}", lambda m: m[1] + (m[2] if re.fullmatch(r"\w+", m[2]) else f"({m[2]})"), out)
     for name, sign in (("leq?", "<="), ("geq?", ">="), ("neq?", "!="), ("times", "*"), ("cdot", "*"), ("to", "->"), ("infty", "inf")):
         out = re.sub(rf"\\{name}\b", sign, out)
     return re.sub(r"\\([A-Za-z]+)", r"\1", out)
@@ -229,7 +300,8 @@ def plain_math(tex: str) -> str:
 def clean(text: str) -> str:
     """The text without markup source, its headings, lists, code blocks, formulas and tables kept."""
     text = re.sub(r"\r\n?", "\n", text)
-    verdicts = iter([m for _, m, _ in classified(text)])
+    # Code stays as it is, but for tags, entities and commands in it.
+    verdicts = iter([m and not (k == "code" and all(SIGNS[n][0] not in ("html", "tex") for n, _, _ in signs_of(x))) for k, m, x in classified(text)])
     ends = re.split(r"([\n\x0b\x0c\x85\u2028\u2029])", text)
     clear = [bool(x.strip()) and not next(verdicts) for x in ends[::2]]
     if not any(x.strip() and not c for x, c in zip(ends[::2], clear)):
@@ -266,22 +338,41 @@ def clean(text: str) -> str:
     tex = bool(re.search(TEX_COMMAND, text))
     if re.search(TAG, text, re.I):
         text = re.sub(r"\s*</t[dh]>\s*<t[dh]\b[^<>]*>\s*", "\t", text, flags=re.I)
-        text = re.sub(r"<li\b[^<>]*>\s*", "\n• ", text, flags=re.I)
+        text = re.sub(r"<img\b[^<>]*?\balt\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>=]+))[^<>]*>", lambda m: m[1] or m[2] or m[3] or "", text, flags=re.I)
+        text = list_marks(text, re.compile(r"<(?P<open>ul|ol)\b[^<>]*>|</(?P<close>ul|ol)\s*>|<(?P<item>li)\b[^<>]*>\s*", re.I), "ol")
         text = re.sub(r"<br\b[^<>]*>", " ", text, flags=re.I)
         text = re.sub(r"</(?:tr|li)>\s*(?=<(?:tr|li)\b)", "\n", text, flags=re.I)
         text = re.sub(r"</?(?:tr|li)\b[^<>]*>", "\n", text, flags=re.I)
         text = BLOCK_TAG.sub("\n\n", text)
         text = re.sub(TAG, "", text, flags=re.I)
+    if tex:
+        text = list_marks(text, re.compile(r"[ \t]*\\begin\{(?P<open>itemize|enumerate)\}(?:\[[^\]\n]*\])?|[ \t]*\\end\{(?P<close>itemize|enumerate)\}|(?P<item>(?<=\n)[ \t]*\\item)\b[ \t]*(?:\[[^\]\n]*\])?[ \t]*"), "enumerate")
     lines = text.split("\n")
-    # A number that the next line repeats is list source, whatever the verdict; plain lists count on.
-    numbers = [m and m[1] for m in (re.match(r"\s*(\d{1,3})\.[ \t]+\S", line) for line in lines)]
-    listed = [n is not None and n in (before, after) for n, before, after in zip(numbers, [None, *numbers], [*numbers[1:], None])]
-    out = [line.replace(sign, "") if sign in line and not item else plain_line(plain_entities(line.replace(sign, "")), tex) for line, item in zip(lines, listed)]
+    out = [line.replace(sign, "") if sign in line else plain_line(plain_entities(line), tex) for line in lines]
     text = "\n".join(x for x in out if x is not None)
     text = re.sub(r"\n{3,}", "\n\n", text).strip("\n")
     return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], text)
 
 
+def list_marks(text: str, tokens: re.Pattern, numbered: str) -> str:
+    """Items of nested lists on lines of their own, under the indent of their depth, with a number in lists of the numbered kind."""
+    kinds: list[list] = []
+
+    def mark(m: re.Match) -> str:
+        if m["open"]:
+            kinds.append([m["open"].lower(), 0])
+            return "\n"
+        if m["close"]:
+            del kinds[-1:]
+            return "\n"
+        if not kinds:
+            return "\n• "
+        kinds[-1][1] += 1
+        return "\n" + "  " * (len(kinds) - 1) + (f"{kinds[-1][1]}. " if kinds[-1][0] == numbered else "• ")
+
+    return tokens.sub(mark, text)
+
+
 def plain_entities(line: str) -> str:
     """A line with its entities, which end with a semicolon, as signs; those that were escaped once more, too."""
     for _ in range(2):
@@ -311,7 +402,9 @@ def plain_line(line: str, tex: bool) -> str | None:
     line = re.sub(r"^ {0,3}#{1,6}[ \t]+(\S.*?)[ \t]*#*[ \t]*$", r"\n\1\n", line)
     line = re.sub(r"^\s*(={1,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$", r"\n\2\n", line)
     line = re.sub(rf"^\s*{HEAD_TEX}\{{(.*)\}}\s*$", r"\n\1\n", line)
-    line = re.sub(r"^\s*(?:[-*+]|\*{2,4}|\d{1,3}\.)[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", "• ", line)
+    # A numbered item keeps its number, and a nested one its indent.
+    line = re.sub(r"^([ \t]*)(?:[-+]|\*{1,4})[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", lambda m: m[1] + "  " * max(m[0].strip().count("*") - 1, 0) + "• ", line)
+    line = re.sub(r"^([ \t]*\d{1,3}\.[ \t]+)\[[ xX]\][ \t]+(?=\S)", r"\1", line)
     line = re.sub(r"^\s*\\item\s*(?:\[[^\]]*\])?\s*", "• ", line)
     line = re.sub(r"^ {0,3}>{1,3}[ \t]+", "", line)
     if re.match(r"^\s*\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\]|\{[^{}]*\})*\s*$", line) or re.match(r"^\s*\\(?:usepackage|title|author|date|maketitle|tableofcontents|label|bibliography\w*)\b.*$", line):
@@ -324,8 +417,9 @@ def plain_inline(line: str, tex: bool) -> str:
     """A line without inline signs."""
     if not SPECIAL.search(line):
         return line
-    line = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)|\[([^\[\]\n]+)\]\([^()\n]*\)", lambda m: m[2] or "", line)
-    line = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "", line, flags=re.I)
+    line = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)|(?<![\w\])])\[([^\[\]\n]+)\]\([^()\n]*\)", lambda m: m[1] or m[2] or "", line)
+    line = re.sub(r"\[\[(?:File|Image):[^\[\]|]*((?:\|[^\[\]|]*)*)\]\]", lambda m: next((c for c in reversed(m[1].split("|")) if " " in c.strip()), ""), line, flags=re.I)
+    line = re.sub(r"\[\[Category:[^\[\]]*\]\]", "", line, flags=re.I)
     line = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]+)\]\]", r"\1", line)
     line = re.sub(r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", r"\1", line)
     line = re.sub(r"\[\^[\w-]+\]:?", "", line)
