@@ -6,8 +6,8 @@ neighbours looks like code. Two decision trees, grown on the labelled texts of m
 whether it holds markup source. Signs that source shares with prose and code (a leading # or -, __name__, a[b](c), x<y>,
 backticks) are features of their own, which the tree weighs by the neighbours.
 
-The converter takes line and inline signs and entities away only from blocks that hold source, and leaves those of kind
-code as they are; tags and constructs over several lines are taken wherever they stand. It keeps headings and list items on
+The converter takes line and inline signs and entities away only from blocks that hold source, and leaves indented ones
+of kind code as they are; tags and constructs over several lines are taken wherever they stand. It keeps headings and list items on
 lines of their own (items begin with a bullet under their indent or with their number), code verbatim, formulas in plain
 signs, table cells apart by tabs, and images by their description.
 
@@ -300,8 +300,8 @@ def plain_math(tex: str) -> str:
 def clean(text: str) -> str:
     """The text without markup source, its headings, lists, code blocks, formulas and tables kept."""
     text = re.sub(r"\r\n?", "\n", text)
-    # Code stays as it is, but for tags, entities and commands in it.
-    verdicts = iter([m and not (k == "code" and all(SIGNS[n][0] not in ("html", "tex") for n, _, _ in signs_of(x))) for k, m, x in classified(text)])
+    # Indented code stays as it is, but for tags, entities and commands in it.
+    verdicts = iter([m and not (k == "code" and re.match(r" {4}|\t", x) and all(SIGNS[n][0] not in ("html", "tex") for n, _, _ in signs_of(x))) for k, m, x in classified(text)])
     ends = re.split(r"([\n\x0b\x0c\x85\u2028\u2029])", text)
     clear = [bool(x.strip()) and not next(verdicts) for x in ends[::2]]
     if not any(x.strip() and not c for x, c in zip(ends[::2], clear)):

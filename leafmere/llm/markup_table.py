@@ -135,7 +135,11 @@ C|    total = *sum* / __count__;
 C|    run(*args, **kwargs) || [0](k);
 C|	if (*p == _q_) return `p`;
 C|    first = [a](b);
-C|    rest = **first;
+C|    n = [1](2);
+C|    out = [c](m);
+c|    rest = **first;
+p|It runs for each row of the table, and the last one is left out.
+C|    z = [3](q);
 P|It runs for *every* row of the table.
 next
 S|<ul>
