@@ -138,9 +138,11 @@ C|    first = [a](b);
 C|    n = [1](2);
 C|    out = [c](m);
 c|    rest = **first;
+P|It runs for *every* row of the table.
+next
 p|It runs for each row of the table, and the last one is left out.
 C|    z = [3](q);
-P|It runs for *every* row of the table.
+C|    w = [4](z);
 next
 S|<ul>
 L|    <li>Take the lamp</li>
