@@ -47,3 +47,22 @@ def test_empty_tables(spark):
     assert current_records(base, feed).count() == 0
     assert current_records(base, spark.createDataFrame([("n", "k", "updated", 1, None, None, 1)], FEED)).count() == 1
     assert current_records(spark.createDataFrame([("n", "k", None, None, None)], BASE), feed).count() == 1
+
+
+def test_buckets_are_merged_without_moving_the_base(spark, tmp_path):
+    base = spark.createDataFrame([("n" if i % 3 else None, f"k{i}", 1, "a", str(i)) for i in range(300)], BASE)
+    table = BucketTable.create(base_rows(base), str(tmp_path / "t"), buckets=8)
+    assert all(len(f) == 1 for f in table.manifest["files"].values()) and len(table.manifest["files"]) == 8
+    held = dict(list(table.manifest["files"].items())[:3])
+    with table._bucketed(held) as old, table._bucketed(table.manifest["files"]) as new:
+        joined = old.hint("merge").join(new.select("space", "key", "hlc"), ["space", "key"], "full_outer")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan.replace("SortMergeJoin", "")
+        assert old.count() < 300 and old.count() == sum(spark.read.parquet(*f).count() for f in held.values())
+    after = table.apply(change_rows(spark.createDataFrame([(None, "k0", "updated", 5, "b", "x", 1), ("n", "new", "added", 5, "b", "x", 1)], FEED)))
+    assert {(r.ns, r.key, r.hlc) for r in after.live().where("hlc = 5").collect()} == {(None, "k0", 5), ("n", "new", 5)} and after.live().count() == 301
+    assert after.vacuum() >= 1 and after.live().count() == 301
+    with pytest.raises(Exception):
+        BucketTable.load(spark, str(tmp_path / "t"), 0)
+    keys = spark.read.parquet(after.manifest["files"]["0"][0]).select("space", "key").collect()
+    assert keys == sorted(keys) and not [t for t in spark.catalog.listTables() if t.name.startswith("leafmere_")]
