@@ -119,7 +119,9 @@ def random_hits(seed=1, queries=12):
     return rows + rows[:9]
 
 
-def test_ranking_against_brute_force(spark):
+@pytest.mark.parametrize("whole", [200_000, 12, 0])
+def test_ranking_against_brute_force(spark, monkeypatch, whole):
+    monkeypatch.setattr(ranking, "WHOLE_QUERY", whole)
     rows = random_hits()
     df = spark.createDataFrame(rows, HITS)
     distinct = {(q, d): (s, {k: v for k, v in (fs or {}).items()}) for q, _, d, s, fs, *_ in rows}
@@ -166,7 +168,7 @@ def test_ruled_queries_take_the_ranks_of_the_aggregation(spark, monkeypatch):
     assert [r[0] for r in ranking.ruled_queries(df).collect()] == [1]
     plain = ranking.component_ranks
     # With the ranks upside down, the query whose scores fall with a component is the one that follows it.
-    monkeypatch.setattr(ranking, "component_ranks", lambda scores: plain(scores).withColumn("rank", -F.col("rank")))
+    monkeypatch.setattr(ranking, "component_ranks", lambda scores, whole: plain(scores, whole).withColumn("rank", -F.col("rank")))
     assert [r[0] for r in ranking.ruled_queries(df).collect()] == [2]
     first = ranking.median_ranking(df).where("place = 1 and query_id = 1").first()
     assert first.median_rank < 0
