@@ -43,6 +43,8 @@ HOT_BUCKET = 4096
 HOT_SENT = 100_000
 #: Vectors of a cell of neighbouring buckets, which one task searches.
 CELL_ROWS = 20_000
+#: Entries of a part of the join of buckets, some 40 bytes each.
+PART_ROWS = 100_000
 #: Probes of a query in a table, at most, before more tables are taken.
 MOST_PROBES = 1024
 
@@ -275,10 +277,10 @@ def sizes(vectors: DataFrame) -> list[tuple[str, int, int]]:
     return [tuple(r) for r in vectors.groupBy("model", F.size("vec").alias("dim")).count().collect()]
 
 
-def plans_for(vectors: DataFrame, cosine: float, recall: float = 0.99, probes: int = 2) -> dict[int, Plan]:
-    """A plan by dimension, for the model that has most vectors of it."""
+def plans_for(sized: list[tuple[str, int, int]], cosine: float, recall: float = 0.99, probes: int = 2) -> dict[int, Plan]:
+    """A plan by dimension, for the model that has most vectors of it; sized: as from sizes."""
     most: dict[int, int] = {}
-    for _, dim, n in sizes(vectors):
+    for _, dim, n in sized:
         most[dim] = max(n, most.get(dim, 0))
     return {dim: Plan.of(n, dim, cosine, recall, probes) for dim, n in most.items()}
 
@@ -312,13 +314,14 @@ def hot_buckets(rows: DataFrame, probes: int) -> DataFrame | None:
     return sent(counts.select(F.col("key").alias("hot"), F.when(F.col("own"), F.ceil(F.col("n") / HOT_BUCKET)).otherwise(0).cast("int").alias("blocks")))
 
 
-def candidate_pairs(rows: DataFrame, probes: int, cosine: float, hot: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(rows: DataFrame, probes: int, cosine: float, parts: int, hot: DataFrame | None = None) -> DataFrame:
     """(a, b) of the ids that share a bucket which is not hot, one of them as its own, and whose sketches allow the cosine;
-    a < b."""
+    a < b. Buckets are dealt to so many parts."""
     entered = entered_rows(rows, probes)
     own, unlike = F.col("a.own") | F.col("b.own"), reduce(add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH])
     if hot is not None:
         entered = entered.join(hot, F.col("key") == F.col("hot"), "left_anti")
+    entered = entered.repartition(parts, "key")
     met = entered.alias("a").join(entered.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & own & (unlike <= most_unlike(cosine)))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -359,7 +362,9 @@ def similar_classes(vectors: DataFrame, cosine: float, recall: float = 0.99, pro
     vec_id; a vector without copies represents itself and is no member. Every pair at the cosine itself is found with
     probability ``recall`` or more and then exactly checked; copies are found without fail.
     """
-    plans = plans_for(vectors, cosine, recall, probes)
+    sized = sizes(vectors)
+    plans = plans_for(sized, cosine, recall, probes)
+    parts = max(1, sum(n * plans[dim].tables * probes for _, dim, n in sized) // PART_ROWS)
     kept = one_vector_an_id(vectors)
     # Rows whose hash nobody shares have no copies; only the others are grouped by the vectors themselves.
     hashes = vectors.select("vec_id", F.xxhash64("model", "vec").alias("h"))
@@ -375,7 +380,7 @@ def similar_classes(vectors: DataFrame, cosine: float, recall: float = 0.99, pro
     # Hashing twice is cheaper than keeping the hashes: counting moves no vectors, and the rest shares one shuffle of them.
     hot = hot_buckets(hashed(vectors.select(F.xxhash64("model", "vec").alias("id"), "model", "vec"), plans), probes)
     found = hashed(classes, plans)
-    pairs = candidate_pairs(found, probes, cosine, hot)
+    pairs = candidate_pairs(found, probes, cosine, parts, hot)
     if hot is not None:
         pairs = pairs.unionAll(hot_pairs(found, kept.withColumnRenamed("vec_id", "id"), probes, cosine, hot)).distinct()
     return checked(pairs, kept.withColumnRenamed("vec_id", "id"), cosine), members
