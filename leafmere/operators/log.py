@@ -15,18 +15,30 @@ RECORD = ["ns", "_id"]
 DAY_MS = 86_400_000
 
 
+def comparable(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of the columns that have an order."""
+    return [n for n in names if not any(t in df.schema[n].dataType.simpleString() for t in ("map<", "variant"))]
+
+
 def merged(*logs: DataFrame) -> DataFrame:
-    """All logs as one, each mutation once."""
+    """All logs as one, each mutation once; of rows that differ only in their values the greatest counts."""
     out = logs[0]
     for other in logs[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
-    return out.dropDuplicates([*RECORD, "hlc", "op", "device_id"])
+    identity = [*RECORD, "hlc", "op", "device_id"]
+    rest = [c for c in out.columns if c not in identity]
+    if not rest:
+        return out.dropDuplicates(identity)
+    order = comparable(out, rest)
+    best = out.groupBy(*identity).agg(F.max_by(F.struct(*rest), F.struct(*order)) if order else F.first(F.struct(*rest)))
+    return best.toDF(*identity, "v").select(*identity, "v.*").select(*out.columns)
 
 
 def newest(log: DataFrame) -> DataFrame:
-    """The current version of every record, deletions too."""
+    """The current version of every record, deletions too; at equal hlc and device a deletion, then the greater values."""
     rest = [c for c in log.columns if c not in (*RECORD, "hlc", "device_id")]
-    best = log.groupBy(*RECORD).agg(F.max_by(F.struct("hlc", "device_id", *rest), F.struct("hlc", "device_id")).alias("v"))
+    order = F.struct("hlc", "device_id", *[(F.col("op") == "delete").alias("__gone")] * ("op" in rest), *comparable(log, rest))
+    best = log.groupBy(*RECORD).agg(F.max_by(F.struct("hlc", "device_id", *rest), order).alias("v"))
     return best.select(*RECORD, "v.*").select(*log.columns)
 
 
@@ -158,7 +170,7 @@ def delta(before: DataFrame, after: DataFrame, key: str = "_id", version: str =
 
 
 def puts(docs: DataFrame, ns: str, hlc: int, device_id: str, key: str = "_id") -> DataFrame:
-    """Log rows that set each document, one clock value for the whole batch and its counter by row order of the key."""
+    """Log rows that set each document, at one clock value for the whole batch, whose keys are unique."""
     return docs.withColumn("ns", F.lit(ns)).withColumn("hlc", F.lit(hlc).cast("bigint")).withColumn("op", F.lit("put")).withColumn("device_id", F.lit(device_id)).withColumnRenamed(key, "_id")
 
 

@@ -92,8 +92,13 @@ def ranked(hits: DataFrame, key: str, score: str = "score", limit: int | None =
 
 def lexical(docs: DataFrame, key: str, fields: list[str], query: str, candidates: DataFrame | None = None, limit: int | None = 10, offset: int = 0, **terms) -> DataFrame:
     """(key, score, {field}:bm25..., rank): the best field decides."""
-    legs = [field_scores(docs, key, f, query, candidates, **terms).select(key, F.lit(f).alias("__field"), "score") for f in fields]
-    merged = reduce(DataFrame.unionAll, legs).groupBy(key).agg(F.max("score").alias("score"), *[F.max(F.when(F.col("__field") == f, F.col("score"))).alias(f"{f}:bm25") for f in fields])
+    return best_fields({f: field_scores(docs, key, f, query, candidates, **terms) for f in fields}, key, limit, offset)
+
+
+def best_fields(scores: dict[str, DataFrame], key: str, limit: int | None = 10, offset: int = 0) -> DataFrame:
+    """(key, score, {field}:bm25..., rank) of (key, score) by field."""
+    legs = [df.select(key, F.lit(f).alias("__field"), "score") for f, df in scores.items()]
+    merged = reduce(DataFrame.unionAll, legs).groupBy(key).agg(F.max("score").alias("score"), *[F.max(F.when(F.col("__field") == f, F.col("score"))).alias(f"{f}:bm25") for f in scores])
     return ranked(merged, key, "score", limit, offset)
 
 

@@ -1,4 +1,8 @@
-"""The write pipeline: validators see all documents first, then augmentors derive further rows, then one commit appends all."""
+"""The write pipeline: validators see all documents first, then augmentors derive further rows, then the commit of the log ends it.
+
+Derived rows are computed before anything is appended, and appended before the log. A failing augmentor leaves all as it was, and
+derived rows whose log rows were never committed are passed over by readers that join them with the log.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from leafmere.operators.cutting import cut
 from leafmere.operators.log import puts
 from leafmere.operators.schema import reserved_fields, valid
 
@@ -31,9 +36,10 @@ class Writer:
         for check in self.validators:
             check(docs)
         rows = puts(docs, ns, hlc, device_id)
+        derived = [(name, cut(derive(docs))) for name, derive in self.augmentors]
+        for name, more in derived:
+            more.write.mode("append").parquet(f"{self.path.rstrip('/')}-{name}")
         self.append(rows)
-        for name, derive in self.augmentors:
-            derive(docs).write.mode("append").parquet(f"{self.path.rstrip('/')}-{name}")
         return rows
 
     def append(self, rows: DataFrame) -> None:

@@ -641,11 +641,37 @@ def ndjson_roundtrip(spark, d):
 
 @query(score_sql(["manifest", "archive", "teacher"]) + " select doc_id, round(score, 6) as score from scored")
 def indexed_search(spark, d):
-    """BM25 from a stored index, built on its first use and found current on the second."""
+    """BM25 from a stored index, without reading a text."""
+    index = indexes.TextIndex(spark, new_folder(spark, "index"), "text", "doc_id")
+    index.build(table(spark, d, "documents").select("doc_id", "text"))
+    return index.scores("manifest archive teacher").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def changed_index(spark: SparkSession, d: str) -> indexes.TextIndex:
+    """An index over all documents with a word added, after which the English ones lost it and those of no language went."""
     docs = table(spark, d, "documents")
-    index = indexes.text_index(spark, new_folder(spark, "index"), "text", "doc_id")
-    index.table(docs, 1)
-    return indexes.scores_from_postings(index.table(docs, 1), "manifest archive teacher", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    index = indexes.TextIndex(spark, new_folder(spark, "index"), "text", "doc_id")
+    index.build(docs.select("doc_id", F.concat("text", F.lit(" manifest")).alias("text")))
+    index.sync(docs.where("lang = 'en'").select("doc_id", "text"))
+    index.sync(docs.where("lang = 'und'").select("doc_id", F.lit(None).cast("string").alias("text")))
+    return index
+
+
+CHANGED_SQL = score_sql(["manifest", "archive", "teacher"]).replace("from documents)", "from (select doc_id, case when lang = 'en' then text else text || ' manifest' end as text from documents where lang is distinct from 'und'))", 1) + " select doc_id, round(score, 6) as score from scored"
+
+
+@query(CHANGED_SQL)
+def indexed_search_overlay(spark, d):
+    """Overlays replace changed documents and take deleted ones away; totals follow."""
+    return changed_index(spark, d).scores("manifest archive teacher").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(CHANGED_SQL)
+def index_compacted(spark, d):
+    """The same after the overlays went into the base."""
+    index = changed_index(spark, d)
+    index.compact()
+    return index.scores("manifest archive teacher").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -10,16 +10,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmere.functions.keys import new_keys
+from leafmere.operators.log import comparable
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, _id, doc, error) of every line that is not blank."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    """(line, _id, doc, error, at) of every line that is not blank; ``at`` orders lines by file and place."""
+    # Numbers ascend within a part of a file, and its start orders the parts.
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", at.alias("at")).where("trim(value) <> ''")
     doc = F.try_parse_json("value")
     kind = F.schema_of_variant(doc)
     name = F.try_variant_get(doc, "$._id", "string")
     error = F.when(doc.isNull(), "no JSON").when(~kind.startswith("OBJECT"), "no object").when(name.isNull(), "no _id")
-    return lines.select(F.col("value").alias("line"), name.alias("_id"), doc.alias("doc"), error.alias("error"))
+    return lines.select(F.col("value").alias("line"), name.alias("_id"), doc.alias("doc"), error.alias("error"), "at")
+
+
+def sound_lines(lines: DataFrame) -> DataFrame:
+    """The lines, none of which may have an error."""
+    bad = lines.where("error is not null").select("error", F.substring("line", 1, 80).alias("line")).limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{b.error}: {b.line}" for b in bad))
+    return lines
+
+
+def one_line_a_key(lines: DataFrame, last: bool = True) -> DataFrame:
+    """The last line of each key, or the first."""
+    best = F.max_by if last else F.min_by
+    return lines.groupBy("_id").agg(best(F.struct("line", "doc", "at"), F.col("at")).alias("v")).select("_id", "v.*")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +57,13 @@ def read_new_documents(spark: SparkSession, path: str, multiline: bool = False)
 def imported(existing: DataFrame, incoming: DataFrame, on_conflict: str = "replace") -> DataFrame:
     """The collection after an import: the incoming document, the existing one or an error where both have a key.
 
-    Both are (_id, ...) of the same columns. Among incoming documents of one key any one is taken.
+    Both are (_id, ...) of the same columns; ``incoming`` may have a column ``at`` besides that orders its rows. Of several of one key
+    the last counts, under ``ignore`` the first; without an order the greatest.
     """
-    incoming = incoming.dropDuplicates(["_id"])
+    rest = [c for c in incoming.columns if c not in ("_id", "at")]
+    order = F.col("at") if "at" in incoming.columns else F.struct(*comparable(incoming, rest))
+    best = (F.min_by if on_conflict == "ignore" else F.max_by)(F.struct(*rest), order)
+    incoming = incoming.groupBy("_id").agg(best.alias("v")).select("_id", "v.*").select(*existing.columns) if rest else incoming.select("_id").distinct()
     if on_conflict == "replace":
         return existing.join(incoming.select("_id"), "_id", "left_anti").unionByName(incoming)
     if on_conflict == "ignore":

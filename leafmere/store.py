@@ -17,9 +17,9 @@ from leafmere.functions.keys import Clock, new_key
 from leafmere.operators import log as logs
 from leafmere.operators import search as searching
 from leafmere.operators.filters import Filter
+from leafmere.operators.indexes import TextIndex
 from leafmere.operators.query import Collection
 from leafmere.operators.schema import variant_violations
-from leafmere.operators.search import lexical
 from leafmere.sources import ndjson
 from leafmere.sources.folder import Folder
 
@@ -56,14 +56,21 @@ class Store:
         rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LOG]).write.mode("append").parquet(self.log_path())
 
     def _rows(self, ns: str, docs: DataFrame | Iterable[dict], hlc: int) -> DataFrame:
-        """Log rows of documents given as dicts, with or without _id, or as a DataFrame (_id, doc)."""
+        """Log rows of documents given as dicts, with or without _id, or as a DataFrame (_id, doc).
+
+        Dicts follow each other in the clock, so the last one of a key is current; of a DataFrame's rows of one key, which have
+        no order, the greatest document counts.
+        """
         if not isinstance(docs, DataFrame):
             listed = [dict(d) for d in docs]
             if bad := sorted({k for d in listed for k in d if k.startswith("_") and k != "_id"}):
                 raise ValueError(f"reserved fields {bad}")
-            docs = self.spark.createDataFrame([(d.get("_id") or new_key(), json.dumps({k: v for k, v in d.items() if k != "_id"})) for d in listed], "_id string, doc string")
-        doc = F.to_json("doc") if isinstance(docs.schema["doc"].dataType, T.VariantType) else F.col("doc")
-        return docs.select(F.lit(ns).alias("ns"), "_id", F.lit(hlc).alias("hlc"), F.lit("put").alias("op"), F.lit(self.device_id).alias("device_id"), doc.alias("doc"))
+            self.clock.last = max(self.clock.last, hlc + len(listed))
+            rows = self.spark.createDataFrame([(d.get("_id") or new_key(), hlc + i, json.dumps({k: v for k, v in d.items() if k != "_id"})) for i, d in enumerate(listed)], "_id string, hlc long, doc string")
+        else:
+            doc = F.to_json("doc") if isinstance(docs.schema["doc"].dataType, T.VariantType) else F.col("doc")
+            rows = docs.select("_id", doc.alias("doc")).groupBy("_id").agg(F.lit(hlc).alias("hlc"), F.max("doc").alias("doc"))
+        return rows.select(F.lit(ns).alias("ns"), "_id", "hlc", F.lit("put").alias("op"), F.lit(self.device_id).alias("device_id"), "doc")
 
     def _checked(self, ns: str, rows: DataFrame) -> DataFrame:
         rule = self.schema(ns)
@@ -171,12 +178,37 @@ class Store:
 
     # Search
 
-    def search(self, ns: str, query: str, fields: list[str], where: Filter | None = None, limit: int = 10, offset: int = 0, **terms) -> DataFrame:
-        """Hits (_id, score, {field}:bm25, rank) over text fields of the documents; only strings that are not empty count."""
+    def _texts(self, rows: DataFrame, field: str) -> DataFrame:
+        """(_id, field) of (_id, doc VARIANT); the field is null unless it is a string."""
+        value = F.try_variant_get("doc", f"$.{field}", "variant")
+        return rows.select("_id", F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("doc", f"$.{field}", "string")).alias(field))
+
+    def text_index(self, ns: str, field: str, **terms) -> TextIndex:
+        """The index of a field, current with the log: built on its first use, then followed by overlays."""
+        options = "".join(f"-{k}={v}" for k, v in sorted(terms.items()))
+        index = TextIndex(self.spark, f"{self.root}/index/{ns}{options}", field, owner=self.device_id, **terms)
+        log = self.log(ns)
+        end, rows = log.agg(F.max("hlc"), F.count("*")).first()
+
+        def changed(after: int) -> DataFrame:
+            # A key that changed may have a version that counts below the index's end, so all of its versions are looked at.
+            keys = log.where(F.col("hlc") > after).select("_id").distinct()
+            now = logs.newest(log.join(keys, "_id", "left_semi"))
+            return self._texts(now.select("_id", F.when(F.col("op") != "delete", F.try_parse_json("doc")).alias("doc")), field)
+
+        index.refresh(end or 0, rows, lambda: self._texts(self.collection(ns).df, field), changed, lambda upto: log.where(F.col("hlc") <= upto).count())
+        return index
+
+    def search(self, ns: str, query: str, fields: list[str], where: Filter | None = None, limit: int = 10, offset: int = 0, documents: bool = False, **terms) -> DataFrame:
+        """Hits (_id, score, {field}:bm25, rank) over text fields, from their indexes; only strings that are not empty count.
+
+        documents: with the document of each hit of the page as ``doc``.
+        """
         docs = self.collection(ns)
         kept = docs.where(where).df().select("_id") if where is not None else None
-        texts = docs.df.select("_id", *[F.when(F.schema_of_variant(F.try_variant_get("doc", f"$.{f}", "variant")) == "STRING", F.try_variant_get("doc", f"$.{f}", "string")).alias(f) for f in fields])
-        return lexical(texts, "_id", fields, query, kept, limit, offset, **terms)
+        legs = {f: self.text_index(ns, f, **terms).scores(query, kept) for f in fields}
+        hits = searching.best_fields(legs, "_id", limit, offset)
+        return hits.join(docs.df, "_id", "left").orderBy("rank") if documents else hits
 
     def hybrid(self, ns: str, query: str, fields: list[str], vectors: DataFrame, query_vector: list[float], limit: int = 10, offset: int = 0, **terms) -> DataFrame:
         legs = [self.search(ns, query, fields, limit=100, **terms), searching.semantic(vectors, "_id", "vec", query_vector)]
@@ -203,8 +235,11 @@ class Store:
 
     # Import, export
 
-    def import_file(self, ns: str, path: str, on_conflict: str = "replace") -> int:
-        incoming = ndjson.read_documents(self.spark, path).dropDuplicates(["_id"])
+    def import_file(self, ns: str, path: str, on_conflict: str = "replace", checked: bool = False) -> int:
+        """Import NDJSON. A line that is no object with an ``_id`` stops the import before anything is written. Of several lines of a
+        key the last counts, under ``ignore`` the first. An import passes the schema by unless it is to be ``checked``."""
+        lines = ndjson.sound_lines(ndjson.read_lines(self.spark, path))
+        incoming = ndjson.one_line_a_key(lines, last=on_conflict != "ignore").select("_id", "doc")
         if on_conflict == "error":
             return self.insert(ns, incoming)
         if on_conflict == "ignore":
@@ -212,7 +247,8 @@ class Store:
         elif on_conflict != "replace":
             raise ValueError(f"unknown rule {on_conflict}")
         hlc = self.clock.now()
-        self.append(self._rows(ns, incoming, hlc))
+        rows = self._rows(ns, incoming, hlc)
+        self.append(self._checked(ns, rows) if checked else rows)
         return hlc
 
     def export(self, ns: str, path: str) -> None:
@@ -237,7 +273,9 @@ class Store:
         """
         known = json.loads(self.folder.read("marks.json") or b"{}")
         marks = self.spark.createDataFrame([(d, h) for d, h in known.items()], "device_id string, hwm long")
-        rows = logs.pulled(logs.accepted(other.log(), 0, self.clock.wall()), marks).where(F.col("device_id") != self.device_id).cache()
+        # Below the floor deletions may be gone here, so that an old mutation could bring a record back.
+        floor = json.loads(self.folder.read("floor.json") or b"0")
+        rows = logs.pulled(logs.accepted(other.log(), floor, self.clock.wall()), marks).where(F.col("device_id") != self.device_id).cache()
         try:
             n = rows.count()
             if n:
@@ -262,6 +300,8 @@ class Store:
         kept.write.mode("overwrite").parquet(f"{self.root}/{name}")
         if not self.folder.swap("state.json", json.dumps({"log": name}).encode(), old):
             raise RuntimeError("the log was compacted by another writer meanwhile")
+        if horizon is not None:
+            self.folder.write("floor.json", json.dumps(max(horizon, json.loads(self.folder.read("floor.json") or b"0"))).encode())
 
     def verify(self) -> DataFrame:
         """(ns, checked, errors) by collection."""

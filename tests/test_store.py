@@ -114,3 +114,39 @@ def test_devices_converge(spark, tmp_path):
         expected[key] = n
     expected = {k: {"n": n} for k, n in expected.items() if n is not None}
     assert [docs(d) for d in devices] == [expected] * 3
+
+
+def test_search_reads_an_index_that_follows_the_log(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "me")
+    store.put("n", [{"_id": "a", "t": "red fox"}, {"_id": "b", "t": "blue hen"}, {"_id": "c", "t": 7}, {"_id": "a", "t": "red red fox"}])
+    hits = lambda q, **k: [r._id for r in store.search("n", q, ["t"], **k).orderBy("rank").collect()]
+    assert store.collection("n").df.count() == 3 and hits("red hen") == ["a", "b"] or hits("red hen") == ["b", "a"]
+    assert store.search("n", "red", ["t"], documents=True).first().doc.toPython()["t"] == "red red fox"
+    store.put("n", [{"_id": "b", "t": "red hen"}, {"_id": "d", "t": "green"}])
+    store.delete("n", ["a"])
+    assert hits("red") == ["b"] and hits("green") == ["d"] and store.text_index("n", "t").state().segments <= 2
+    other = Store(spark, str(tmp_path / "o"), "other")
+    other.put("n", [{"_id": "e", "t": "red"}])
+    assert store.pull(other) == 1 and sorted(hits("red")) == ["b", "e"]
+    # Below the floor, deletions may be gone.
+    end = other.end()
+    store.compact(horizon=end + (1 << 30))
+    late = Store(spark, str(tmp_path / "l"), "late")
+    late.put("n", [{"_id": "a", "t": "back"}])
+    assert store.pull(late) == 0 and "a" not in hits("back")
+
+
+def test_import_stops_at_bad_lines(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "me")
+    path = tmp_path / "in.ndjson"
+    path.write_text('{"_id": "a", "v": 1}\n{"_id": "a", "v": 3}\n')
+    store.import_file("n", str(path))
+    assert store.collection("n").df.first().doc.toPython()["v"] == 3
+    path.write_text('{"_id": "b"}\nbad\n')
+    with pytest.raises(ValueError):
+        store.import_file("n", str(path))
+    store.set_schema("n", {"properties": {"v": {"type": "string"}}})
+    path.write_text('{"_id": "b", "v": 1}\n')
+    with pytest.raises(ValueError):
+        store.import_file("n", str(path), checked=True)
+    assert store.collection("n").df.count() == 1
