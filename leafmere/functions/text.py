@@ -1,4 +1,4 @@
-"""Words for search: tokens, stop-words, an English stemmer and a language gate for it."""
+"""Words for search: tokens, stop-words, stemmers for English and German and a language gate for them."""
 
 from __future__ import annotations
 
@@ -34,73 +34,139 @@ def without_stop_words(words: Column, stop: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS if stop is None else stop))
 
 
-def search_terms(text: Column, stop: bool = True, stemmed: bool = False) -> Column:
-    """The terms that are indexed and searched: tokens, without stop-words, stemmed on demand."""
+def search_terms(text: Column, stop: bool = True, stemmed: bool = False, language: str | None = "en") -> Column:
+    """The terms that are indexed and searched: tokens, without stop-words, stemmed on demand in a language (None: not at all)."""
     words = tokens(text)
     words = without_stop_words(words) if stop else words
-    return stems(words) if stemmed else words
+    return stems(words, language) if stemmed else words
 
 
 VOWELS = "aeiouy"
+# Fixed values of the public Snowball algorithm for English: words with stems of their own, words left after the first step,
+# beginnings that shift the first region, and suffixes with what becomes of them.
+ENGLISH_WORDS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+                 **{w: w for w in "sky news howe atlas cosmos bias andes".split()}}
+ENGLISH_KEPT = set("inning outing canning herring earring proceed exceed succeed".split())
+ENGLISH_BEGINNINGS = ("gener", "commun", "arsen")
+ENGLISH_2 = {"ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al",
+             "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble", "ogi": "og", "li": ""}
+ENGLISH_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic", "ness": "", "ful": ""}
+ENGLISH_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
+
+
+def regions(word: str, vowels: str) -> tuple[int, int]:
+    """Where the regions after the first and the second non-vowel that follows a vowel begin."""
+    pattern = re.compile(f"[{vowels}][^{vowels}]")
+    first = m.end() if (m := pattern.search(word)) else len(word)
+    return first, m.end() if (m := pattern.search(word, first)) else len(word)
+
+
+def longest(word: str, suffixes) -> str | None:
+    return max((x for x in suffixes if word.endswith(x)), key=len, default=None)
 
 
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """English stem of a lower-case word, by suffix rules applied where enough of the word is left."""
+    """English stem of a lower-case word by the public Snowball algorithm."""
+    word = word.replace("’", "'")
     if len(word) < 3:
         return word
-    word = re.sub(r"['’](?:s['’]?)?$", "", word.strip("'’"))
-    regions = re.finditer(r"[aeiouy][^aeiouy]", word)
-    r1 = next((m.end() for m in regions), len(word))
-    r2 = next((m.end() for m in re.finditer(r"[aeiouy][^aeiouy]", word[r1:])), len(word) - r1) + r1
-    has_vowel = lambda s: any(c in VOWELS for c in s)
-    # Plurals and third persons.
+    if word in ENGLISH_WORDS:
+        return ENGLISH_WORDS[word]
+    word = word.removeprefix("'")
+    # A y that is a consonant, at the beginning or after a vowel, is told by a capital.
+    word = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
+    r1, r2 = regions(word, VOWELS)
+    if beginning := next((x for x in ENGLISH_BEGINNINGS if word.startswith(x)), None):
+        r1 = len(beginning)
+        r2 = m.end() if (m := re.compile("[aeiouy][^aeiouy]").search(word, r1)) else len(word)
+    short = lambda w: bool(re.search(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", w))
+    word = re.sub(r"'(?:s'?)?$", "", word)
+    # Plurals.
     if word.endswith("sses"):
         word = word[:-2]
     elif word.endswith(("ied", "ies")):
         word = word[:-2] if len(word) > 4 else word[:-1]
-    elif word.endswith("s") and not word.endswith(("us", "ss")) and has_vowel(word[:-2]):
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and re.search("[aeiouy]", word[:-2]):
         word = word[:-1]
+    if word in ENGLISH_KEPT:
+        return word
     # Past forms and participles.
-    if m := re.match(r"(.*?)(eedly|eed)$", word):
-        word = m[1] + "ee" if len(m[1]) >= r1 else word
-    elif (m := re.match(r"(.*?)(ingly|edly|ing|ed)$", word)) and has_vowel(m[1]):
-        word = m[1]
+    suffix = longest(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if suffix in ("eed", "eedly"):
+        if len(word) - len(suffix) >= r1:
+            word = word[: -len(suffix)] + "ee"
+    elif suffix and re.search("[aeiouy]", word[: -len(suffix)]):
+        word = word[: -len(suffix)]
         if word.endswith(("at", "bl", "iz")):
             word += "e"
         elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", word):
             word = word[:-1]
-        elif re.search(r"(^|[^aeiouy])[aeiouy][^aeiouywx]$", word) and r1 >= len(word):
+        elif short(word) and r1 >= len(word):
             word += "e"
-    if len(word) > 2 and word[-1] == "y" and word[-2] not in VOWELS:
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in VOWELS:
         word = word[:-1] + "i"
-    # Longer suffixes and what becomes of them.
-    for suffix, to in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"),
-                       ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble")):
-        if word.endswith(suffix):
-            word = word[: -len(suffix)] + to if len(word) - len(suffix) >= r1 else word
-            break
-    for suffix, to in (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")):
-        if word.endswith(suffix):
-            word = word[: -len(suffix)] + to if len(word) - len(suffix) >= r1 else word
-            break
-    for suffix in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic"):
-        if word.endswith(suffix):
-            rest = word[: -len(suffix)]
-            if len(rest) >= r2 and (suffix != "ion" or rest.endswith(("s", "t"))):
-                word = rest
-            break
-    if word.endswith("e") and (len(word) - 1 >= r2 or len(word) - 1 >= r1 and not re.search(r"(^|[^aeiouy])[aeiouy][^aeiouywx]$", word[:-1])):
+    # Suffixes of derived words, within the first region.
+    suffix = longest(word, ENGLISH_2)
+    if suffix and len(word) - len(suffix) >= r1:
+        rest = word[: -len(suffix)]
+        if not (suffix == "ogi" and not rest.endswith("l")) and not (suffix == "li" and rest[-1:] not in tuple("cdeghkmnrt")):
+            word = rest + ENGLISH_2[suffix]
+    suffix = longest(word, ENGLISH_3)
+    if suffix and len(word) - len(suffix) >= (r2 if suffix == "ative" else r1):
+        word = word[: -len(suffix)] + ENGLISH_3[suffix]
+    # Within the second one.
+    suffix = longest(word, ENGLISH_4)
+    if suffix and len(word) - len(suffix) >= r2 and (suffix != "ion" or word[: -len(suffix)].endswith(("s", "t"))):
+        word = word[: -len(suffix)]
+    if word.endswith("e") and (len(word) - 1 >= r2 or len(word) - 1 >= r1 and not short(word[:-1])):
         word = word[:-1]
     elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
-    return word
+    return word.replace("Y", "y")
+
 
+@lru_cache(maxsize=200_000)
+def german_stem(word: str) -> str:
+    """German stem of a lower-case word by the public Snowball algorithm."""
+    vowels = "aeiouyäöü"
+    word = word.replace("ß", "ss")
+    word = re.sub(f"(?<=[{vowels}])([uy])(?=[{vowels}])", lambda m: m[1].upper(), word)
+    r1, r2 = regions(word, vowels)
+    r1 = max(r1, 3)
+    inside = lambda suffix, r: len(word) - len(suffix) >= r
+    suffix = longest(word, ("em", "ern", "er", "e", "en", "es", "s"))
+    if suffix and inside(suffix, r1) and (suffix != "s" or word[-2:-1] in tuple("bdfghklmnrt")):
+        word = word[: -len(suffix)]
+        if suffix in ("e", "en", "es") and word.endswith("niss"):
+            word = word[:-1]
+    suffix = longest(word, ("en", "er", "est", "st"))
+    if suffix and inside(suffix, r1) and (suffix != "st" or word[-3:-2] in tuple("bdfghklmnt") and len(word) >= 6):
+        word = word[: -len(suffix)]
+    suffix = longest(word, ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit"))
+    if suffix and inside(suffix, r2) and not (suffix in ("ig", "ik", "isch") and word[: -len(suffix)].endswith("e")):
+        word = word[: -len(suffix)]
+        if suffix in ("end", "ung") and word.endswith("ig") and inside("ig", r2) and not word.endswith("eig"):
+            word = word[:-2]
+        elif suffix in ("lich", "heit") and word.endswith(("er", "en")) and inside("er", r1):
+            word = word[:-2]
+        elif suffix == "keit" and (more := longest(word, ("lich", "ig"))) and inside(more, r2):
+            word = word[: -len(more)]
+    return word.lower().translate(str.maketrans("äöü", "aou"))
+
+
+STEMMERS = {"en": stem, "de": german_stem}
+
+
+def stems(words: Column, language: str | None = "en") -> Column:
+    """The stem of every word; without a language, or in one that has no stemmer here, the words themselves."""
+    one = STEMMERS.get(language or "")
+    if one is None:
+        return words
 
-def stems(words: Column) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def stemmed(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+        return lists.map(lambda ws: None if ws is None else [one(w) for w in ws])
 
     return stemmed(words)
 

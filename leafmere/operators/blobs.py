@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +26,35 @@ def reference_rows(docs: DataFrame, key: str = "_id", doc_json: str = "doc", sch
     return docs.select(key, F.explode(references(F.col(doc_json), scheme)).alias("sha256"))
 
 
-def reference_paths(docs: DataFrame, key: str = "_id", doc_json: str = "doc", scheme: str = SCHEME, depth: int = 8) -> DataFrame:
-    """(key, sha256, path): the first path, in path order, at which a document holds each reference, down to ``depth``."""
-    level = docs.select(key, F.lit("$").alias("path"), F.try_parse_json(doc_json).alias("v"))
-    found = None
-    for _ in range(depth + 1):
-        text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
-        hits = level.select(key, "path", F.explode(references(text, scheme)).alias("sha256"))
-        found = hits if found is None else found.unionAll(hits)
-        kind = F.schema_of_variant("v")
-        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        inner.createOrReplaceTempView("__leafmere_level")
-        level = inner.sparkSession.sql(f"select `{key}`, path as up, e.pos, e.key as name, e.value as v from __leafmere_level, lateral variant_explode(v) e")
-        level = level.select(key, F.when(F.col("name").isNotNull(), F.concat("up", F.lit("."), "name")).otherwise(F.concat("up", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("path"), "v")
-    return found.groupBy(key, "sha256").agg(F.min("path").alias("path"))
+def reference_paths(docs: DataFrame, key: str = "_id", doc_json: str = "doc", scheme: str = SCHEME) -> DataFrame:
+    """(key, sha256, path): the first path, in path order, at which a document holds each reference, at any depth. A document that is
+    no JSON has none."""
+    pattern = re.compile(re.escape(scheme) + r"([0-9a-f]{64})(?![0-9a-f])")
+
+    @F.pandas_udf("array<struct<sha256: string, path: string>>")
+    def paths(bodies: pd.Series) -> pd.Series:
+        out = []
+        for body in bodies:
+            first: dict[str, str] = {}
+            try:
+                todo = [("$", json.loads(body))] if body is not None else []
+            except (ValueError, RecursionError):
+                todo = []
+            while todo:
+                path, value = todo.pop()
+                if isinstance(value, dict):
+                    todo += [(f"{path}.{k}", v) for k, v in value.items()]
+                elif isinstance(value, list):
+                    todo += [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+                elif isinstance(value, str):
+                    for sha in pattern.findall(value):
+                        first[sha] = min(first.get(sha, path), path)
+            out.append([{"sha256": k, "path": v} for k, v in sorted(first.items())])
+        return pd.Series(out)
+
+    # Only documents that name the scheme leave the JVM; a key may stand in several rows.
+    rows = docs.where(F.col(doc_json).contains(scheme)).select(key, F.explode(paths(F.col(doc_json))).alias("r"))
+    return rows.groupBy(key, "r.sha256").agg(F.min("r.path").alias("path"))
 
 
 def reference_counts(refs: DataFrame, key: str = "_id") -> DataFrame:

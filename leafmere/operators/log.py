@@ -6,6 +6,8 @@ partitioned by record, and the snapshot is a max aggregate, which reduces a hot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,16 +137,22 @@ def promoted(log: DataFrame, key: str, hlc: int, new_hlc: int, device_id: str) -
     return out.withColumn("promoted_from", F.col("hlc")).withColumn("hlc", F.lit(new_hlc).cast("bigint")).withColumn("device_id", F.lit(device_id))
 
 
-def forks(writes: DataFrame, most_devices: int = 1000) -> DataFrame:
+def forks(writes: DataFrame, devices_at_once: int = 500) -> DataFrame:
     """Pairs of competing writes: each write with the latest earlier write to the same record by every other device.
 
     writes: (ns, _id, device_id, seq, hlc), seq unique within a record. Result: (ns, _id, seq_a, device_a, seq_b, device_b,
     winner) with b the earlier one. A running maximum a device takes the place of a join of a record with itself; the
-    devices of a store, at most ``most_devices``, are known to the driver.
+    names of a store's devices are known to the driver, and so many of them are followed in one pass.
     """
-    devices = sorted(r[0] for r in writes.select("device_id").distinct().where("device_id is not null").limit(most_devices + 1).collect())
-    if len(devices) > most_devices:
-        raise ValueError(f"more than {most_devices} devices")
+    devices = sorted(r[0] for r in writes.select("device_id").distinct().where("device_id is not null").collect())
+    groups = [devices[i : i + devices_at_once] for i in range(0, len(devices), devices_at_once)] or [[]]
+    return reduce(DataFrame.unionAll, [_forks_with(writes, g) for g in groups])
+
+
+def _forks_with(writes: DataFrame, devices: list[str]) -> DataFrame:
+    """The pairs of forks whose earlier write is of one of the devices."""
+    if not devices:
+        return writes.limit(0).select(*RECORD, F.col("seq").alias("seq_a"), F.col("device_id").alias("device_a"), F.col("seq").alias("seq_b"), F.col("device_id").alias("device_b"), F.col("device_id").alias("winner"))
     rows = writes.select(*RECORD, "device_id", "seq", "hlc")
     for i, d in enumerate(devices):
         rows = rows.withColumn(f"w{i}", F.when(F.col("device_id") == d, F.struct("seq", "hlc", "device_id")))

@@ -449,6 +449,44 @@ def import_ignore(spark, d):
     return ndjson.imported(*import_sides(spark, d), "ignore")
 
 
+ARRIVALS = """with b as (select ns || '/' || lower(replace(doc_key, '-', '')) as _id, hlc, delta_id * 1000 + entry_no as place from sync_delta where doc_key is not null),
+a as (select distinct ns || '/' || kv_key as _id, hlc from kv_store) """
+
+
+def arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The store and every entry of the change feed as a line to import, in order of arrival."""
+    store = table(spark, d, "kv_store").select(F.concat_ws("/", "ns", "kv_key").alias("_id"), "hlc").distinct()
+    feed = table(spark, d, "sync_delta").where("doc_key is not null")
+    return store, feed.select(F.concat_ws("/", "ns", change_feed.plain_key(F.col("doc_key"))).alias("_id"), "hlc", (F.col("delta_id") * 1000 + F.col("entry_no")).alias("at"))
+
+
+@query(ARRIVALS + "select _id, (array_agg(hlc order by place desc))[1] as hlc from b group by _id union all select _id, hlc from a where _id not in (select _id from b)")
+def import_last_wins(spark, d):
+    """Of several lines of a key the last one counts."""
+    return ndjson.imported(*arrivals(spark, d), "replace")
+
+
+@query(ARRIVALS + "select _id, hlc from a union all select _id, (array_agg(hlc order by place))[1] as hlc from b where _id not in (select _id from a) group by _id")
+def import_first_wins(spark, d):
+    return ndjson.imported(*arrivals(spark, d), "ignore")
+
+
+@query(LOG + ", k as (select distinct kv_key as _id from kv_store) select ns, _id, op from (select 'n' as ns, _id, 'delete' as op from newest semi join k using (_id) where ns = (select min(ns) from log) and op <> 'delete') group by all")
+def delete_existing(spark, d):
+    """Deletions of the store's keys that one namespace still has."""
+    rows = log_of(spark, d)
+    ns = rows.agg(F.min("ns")).select(F.col("min(ns)").alias("first"))
+    current = log.snapshot(rows).join(F.broadcast(ns), F.col("ns") == F.col("first"), "left_semi").withColumn("ns", F.lit("n"))
+    keys_of = table(spark, d, "kv_store").select(F.col("kv_key").alias("_id"))
+    return log.deletions(keys_of, current, "n", NOW_MS << 16, "me").select("ns", "_id", "op")
+
+
+@query(LOG + "select ns, count(*) as mutations, count(distinct _id) as records, min(hlc) as least_hlc, max(hlc) as most_hlc from log group by ns")
+def log_statistics(spark, d):
+    rows = log.merged(log_of(spark, d))
+    return rows.groupBy("ns").agg(F.count("*").alias("mutations"), F.countDistinct("_id").alias("records"), F.min("hlc").alias("least_hlc"), F.max("hlc").alias("most_hlc"))
+
+
 @query("select r_name as collection, n_nationkey as n from nation join region on n_regionkey = r_regionkey")
 def restore_headers(spark, d):
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
@@ -557,7 +595,7 @@ def uri_refs(spark, d):
 
 @query("select distinct item_id as _id, sha256, '$.file.uri' as path from vault_work_item")
 def uri_paths(spark, d):
-    return blobs.reference_paths(items_of(spark, d), depth=2)
+    return blobs.reference_paths(items_of(spark, d))
 
 
 @query("select sha256, count(distinct item_id) as n from vault_work_item group by sha256")
@@ -676,12 +714,12 @@ def index_compacted(spark, d):
 
 @query()
 def html_extraction(spark, d):
-    return table(spark, d, "vault_work_item").where("lower(media_type) like 'text/html%'").select("item_id", html_text(F.make_valid_utf8(F.col("blob_bytes").cast("string"))).alias("text"))
+    return table(spark, d, "vault_work_item").where("lower(media_type) like 'text/html%'").select("item_id", html_text(F.col("blob_bytes")).alias("text"))
 
 
 @query()
 def markdown_extraction(spark, d):
-    return table(spark, d, "vault_work_item").where("lower(media_type) like 'text/markdown%'").select("item_id", markdown_text(F.make_valid_utf8(F.col("blob_bytes").cast("string"))).alias("text"))
+    return table(spark, d, "vault_work_item").where("lower(media_type) like 'text/markdown%'").select("item_id", markdown_text(F.col("blob_bytes")).alias("text"))
 
 
 @query()
@@ -689,6 +727,20 @@ def extraction_pipeline(spark, d):
     return table(spark, d, "vault_work_item").select("item_id", extracted(F.col("blob_bytes"), F.col("media_type")).alias("r")).select("item_id", "r.status", F.length("r.text").cast("bigint").alias("signs"))
 
 
+# Words and their stems by the public Snowball algorithms.
+STEMS = {"en": "skies sky dying die news news generously generous consigned consign knightly knight running run happiness happi relational relat conditional condit communication communic hopping hop hoping hope agreed agre flies fli ties tie gas gas gaps gap luxuriously luxuri sized size national nation archives archiv youth youth proceed proceed generalizations general",
+         "de": "aufeinander aufeinand aufgaben aufgab häuser haus kategorischen kategor jahreszeiten jahreszeit schönheit schonheit"}
+STEM_ROWS = [(k, w, t) for k, v in STEMS.items() for w, t in zip(v.split()[::2], v.split()[1::2])] + [("fr", "maisons", "maisons")]
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{w}', '{t}')" for k, w, t in STEM_ROWS) + ") t(language, word, stem)")
+def stem_values(spark, d):
+    """The stemmers over a table of known stems; a language without one leaves words as they are."""
+    words = spark.createDataFrame([(k, w) for k, w, _ in STEM_ROWS], "language string, word string")
+    of = lambda k: F.get(stems(F.array("word"), k), F.lit(0))
+    return words.select("language", "word", F.when(F.col("language") == "en", of("en")).when(F.col("language") == "de", of("de")).otherwise(of("fr")).alias("stem"))
+
+
 @query()
 def stemmed_terms(spark, d):
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()

@@ -6,11 +6,13 @@ A document row is (_id string, doc VARIANT). Blank lines are skipped; a line tha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmere.functions.keys import new_keys
+from leafmere.operators.cutting import cut
 from leafmere.operators.log import comparable
+from leafmere.operators.running import running
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -79,24 +81,25 @@ def restored(lines: DataFrame, line: str = "line", at: str = "n", file: str | No
     """(collection, line) of the documents of dumps: the last ``# collection: name`` header before a line names its
     collection; other lines that begin with # and blank ones are left out. A document before any header has a null one.
 
-    lines: the text of each line and its place in its file. A dump's lines are ordered within a file.
+    lines: the text of each line and its place in its file. A dump's lines are ordered within a file, and spread over ranges of
+    their order, so that no task holds a file.
     """
     body = F.trim(F.col(line))
     header = F.when(body.rlike(r"^#\s*collection:"), F.trim(F.regexp_replace(body, r"^#\s*collection:", "")))
-    w = (Window.partitionBy(file) if file else Window.partitionBy()).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("collection", F.last(header, ignorenulls=True).over(w))
-    return named.where((body != "") & ~body.startswith("#")).select("collection", F.col(line).alias("line"))
+    place = F.col(at)
+    rows = lines.select(*([F.col(file).alias("__file")] if file else []), place.alias("__at"), F.col(line).alias("line"), F.when(header.isNotNull(), F.struct(place.alias("at"), header.alias("name"))).alias("__head"))
+    named = running(rows, ["__file"] if file else [], [F.col("__at").asc()], {"__last": ("max", "__head")})
+    bare = F.trim("line")
+    return named.where((bare != "") & ~bare.startswith("#")).select(F.col("__last.name").alias("collection"), "line")
 
 
 def restore_file(spark: SparkSession, path: str) -> DataFrame:
-    """(collection, _id, doc) of dump files, each cut at its headers.
-
-    Every file is read as pieces that begin with a header, so a piece is a row and no order has to be restored.
-    """
-    pieces = spark.read.option("lineSep", "\n# collection:").text(path)
-    head = F.regexp_replace("value", r"^#\s*collection:", "")
-    parts = pieces.select(F.trim(F.substring_index(head, "\n", 1)).alias("collection"), F.explode(F.split(head, "\n")).alias("line"))
-    docs = parts.select("collection", F.try_parse_json("line").alias("doc")).where("doc is not null and schema_of_variant(doc) like 'OBJECT%'")
+    """(collection, _id, doc) of dump files, line by line, whatever the size of a collection."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    # The places are fixed before they are sorted by.
+    found = restored(cut(lines), "line", "at", "file").select("collection", F.try_parse_json("line").alias("doc"))
+    docs = found.where("doc is not null and schema_of_variant(doc) like 'OBJECT%'")
     return docs.select("collection", F.try_variant_get("doc", "$._id", "string").alias("_id"), "doc")
 
 

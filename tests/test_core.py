@@ -354,6 +354,79 @@ def test_equal_clocks_have_one_winner(spark):
     assert {r._id: r.doc for r in log.snapshot(df).collect()} == {"k": "z"} and sorted(r.doc or "" for r in log.merged(df, df).collect()) == ["", "x", "z"]
 
 
+def test_checksums_of_any_length(spark):
+    import os
+
+    table = hashing._crc_table()
+    blobs_ = [os.urandom(n) for n in (0, 1, 3, 4, 5, 100, 4095, 4096, 4097, 20000)]
+    for blob in blobs_:
+        crc = 0xFFFFFFFF
+        for b in blob:
+            crc = int(table[(crc ^ b) & 255]) ^ crc >> 8
+        assert hashing.crc32c_of(blob) == crc ^ 0xFFFFFFFF
+    assert hashing.crc32c_of(b"123456789") == 0xE3069283
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs_)] + [(99, None)], "i int, b binary")
+    assert {r.i: r.c for r in df.select("i", hashing.crc32c(F.col("b")).alias("c")).collect()} == {i: hashing.crc32c_of(b) for i, b in enumerate(blobs_)} | {99: None}
+
+
+def test_derived_keys():
+    # The first case of RFC 5869.
+    got = hashing.hkdf(bytes([0x0B]) * 22, 42, bytes(range(13)), bytes(range(0xF0, 0xFA)))
+    assert got.hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865" and len(hashing.hkdf(b"x", 100)) == 100
+    with pytest.raises(ValueError):
+        hashing.hkdf(b"x", 9000)
+
+
+def test_charsets_and_pdf(spark):
+    import zlib
+
+    for text, name in (("привет мир, это текст", "cp1251"), ("été à la mer", "cp1252"), ("hello you", "utf-16-le"), ("hello you", "utf-16-be"), ("naïve 🙂", "utf-8"), ("", "utf-8")):
+        assert extract.charset_of(text.encode(name)) == (name, 0) and extract.decode_bytes(text.encode(name)) == text
+    page = lambda s: zlib.compress(s)
+    shown = page(b"BT /F1 12 Tf 72 700 Td (Hello \\(old\\) ) Tj <776f726c64> Tj 0 -14 Td [(Sec) -20 (ond) -300 (l\\151ne)] TJ ET")
+    def pdf(*pages):
+        out = b"%PDF-1.4\n"
+        for i, p in enumerate(pages):
+            out += b"%d 0 obj\n<< /Type /Page /Contents %d 0 R >>\nendobj\n%d 0 obj\n<< /Filter /FlateDecode >>\nstream\n" % (2 * i + 2, 2 * i + 3, 2 * i + 3) + p + b"\nendstream\nendobj\n"
+        return out
+    assert extract.pdf_to_text(pdf(shown)) == "Hello (old) world\nSecond line" and extract.pdf_to_text(pdf(shown, shown, page(b"q Q"))).count("Hello") == 2
+    assert extract.pdf_to_text(pdf(shown, page(b"q Q"))) == ""
+    df = spark.createDataFrame([(pdf(shown), "application/pdf"), (b"%PDF-broken", "application/pdf"), (b"no", "application/pdf")], "b binary, m string")
+    got = [tuple(r.r) for r in df.select(extract.extracted(F.col("b"), F.col("m")).alias("r")).collect()]
+    assert got[0] == ("indexed", "Hello (old) world\nSecond line") and got[1] == ("indexed", "") and got[2] == ("failed", None)
+    pages = spark.createDataFrame([("<p>één</p>".encode("utf-16"),)], "b binary")
+    assert pages.select(extract.html_text(F.col("b"))).first()[0] == "één"
+
+
+def test_stems_by_language(spark):
+    from leafmere.functions.text import german_stem, search_terms
+
+    for k, word, expected in catalogue.STEM_ROWS:
+        assert {"en": stem, "de": german_stem}.get(k, str)(word) == expected
+    row = spark.createDataFrame([("Running dogs ran",)], "t string").select(*[search_terms(F.col("t"), stemmed=True, language=k).alias(str(k)) for k in ("en", None)]).first()
+    assert row.en == ["run", "dog", "ran"] and row["None"] == ["running", "dogs", "ran"]
+
+
+def test_references_at_any_depth_and_forks_of_many_devices(spark):
+    sha = "a" * 64
+    deep = json.dumps({"x": [{"y": f"see {blobs.SCHEME}{sha}"}]})
+    for _ in range(40):
+        deep = '{"n": ' + deep + "}"
+    df = spark.createDataFrame([("d", deep), ("e", "no json " + blobs.SCHEME + sha), ("f", None)], "_id string, doc string")
+    rows = blobs.reference_paths(df).collect()
+    assert [(r._id, r.sha256, r.path) for r in rows] == [("d", sha, "$" + ".n" * 40 + ".x[0].y")]
+    writes = spark.createDataFrame([("n", "k", f"dev{i % 7}", i, i) for i in range(20)], "ns string, _id string, device_id string, seq long, hlc long")
+    plain = sorted(map(tuple, log.forks(writes).collect()))
+    assert plain == sorted(map(tuple, log.forks(writes, devices_at_once=2).collect())) and len(plain) > 60 and log.forks(writes.limit(0)).count() == 0
+
+
+def test_dumps_are_restored_by_lines(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text('{"_id": "0"}\n# a note\n' + "".join(f"# collection: {name}{c}\n\n" + "".join(json.dumps({"_id": f"{c}{i}"}) + "\n" for i in range(50)) for c in range(3)))
+    got = {(r.collection, r._id) for r in ndjson.restore_file(spark, str(tmp_path)).collect()}
+    assert got == {(None, "0")} | {(f"{n}{c}", f"{c}{i}") for n in "ab" for c in range(3) for i in range(50)}
+
+
 def test_shared_folder(spark, tmp_path):
     f = folder.Folder(spark, str(tmp_path / "s"))
     first = f.write("a", b"1")
