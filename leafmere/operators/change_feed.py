@@ -220,6 +220,8 @@ def _delete(spark: SparkSession, where: str) -> bool:
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
     fs, path = _hadoop(spark, root)
+    if not fs.exists(path):
+        return []
     return [int(m[1]) for f in fs.listStatus(path) if (m := re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()))]
 
 

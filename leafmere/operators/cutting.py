@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
+    """The session's spark.checkpoint.dir; where it is unset on one machine, as in tests, a folder of our own, removed at the end.
+    A cluster must name one, since a folder of one machine is lost with it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -17,7 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="leafmere-"))
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="leafmere-")
+        atexit.register(shutil.rmtree, own, True)
+        context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -653,8 +653,7 @@ def streaming_lww(spark, d):
     log_of(spark, d).write.parquet(f"{folder}/log")
     rows = live.log_stream(spark, f"{folder}/log", "ns string, _id string, hlc bigint, op string, device_id string", files_a_batch=64)
     live.current_table(rows, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
-    state = spark.read.parquet(f"{folder}/state")
-    return state.join(state.agg(F.max("batch").alias("batch")), "batch").select("ns", "_id", "hlc", "op")
+    return live.current_rows(spark, f"{folder}/state", rows.schema).select("ns", "_id", "hlc", "op")
 
 
 @query("select ns, count(distinct kv_key) as n from kv_store group by ns")

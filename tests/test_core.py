@@ -255,7 +255,19 @@ def test_write_events_and_state_table(spark, tmp_path):
     stream = lambda: live.log_stream(spark, str(tmp_path / "log"), shape)
     live.write_events(stream(), lambda names, n: seen.append(names), str(tmp_path / "c")).awaitTermination()
     live.current_table(stream(), str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
-    assert seen == [["a", "b"]] and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    state = lambda: {(r.ns, r._id, r.hlc, r.op) for r in live.current_rows(spark, str(tmp_path / "t"), stream().schema).collect()}
+    assert seen == [["a", "b"]] and state() == {("a", "k", 5, "put"), ("b", "q", 6, "put")}
+    spark.createDataFrame([("a", "k", 4, "delete", "x"), ("b", "q", 9, "delete", "x"), ("b", "r", 1, "put", "x")], shape).write.mode("append").parquet(str(tmp_path / "log"))
+    live.current_table(stream(), str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()
+    assert state() == {("a", "k", 5, "put"), ("b", "q", 9, "delete"), ("b", "r", 1, "put")}
+
+
+def test_watch_gives_other_columns_back(spark, tmp_path):
+    shape, seen = "ns string, _id string, hlc long, op string, device_id string, v struct<a: int, b: array<string>>, d double", []
+    spark.createDataFrame([("a", "k", 5, "put", "x", (1, ["p"]), 2.5), ("a", "q", 6, "put", "x", None, None)], shape).write.parquet(str(tmp_path / "log"))
+    stream = live.log_stream(spark, str(tmp_path / "log"), shape)
+    live.watch(stream, str(tmp_path / "log"), "a", lambda docs: docs, lambda df, n: seen.append({r._id: (r.v.asDict() if r.v else None, r.d) for r in df.collect()}), str(tmp_path / "c")).awaitTermination()
+    assert seen == [{"k": ({"a": 1, "b": ["p"]}, 2.5), "q": (None, None)}]
 
 
 def test_indexes_are_built_on_use_and_go_stale(spark, tmp_path):
