@@ -192,11 +192,15 @@ def merge_long(ids: np.ndarray, table: PairTable) -> np.ndarray:
     after, before, value = list(range(1, n + 1)), list(range(-1, n - 1)), ids.tolist()
     heap = [(int(r), i, value[i], value[i + 1]) for i, r in enumerate(ranks) if r != NO_PAIR]
     heapq.heapify(heap)
+    # A row holds few different pairs, each of which is looked up once.
+    known: dict[tuple[int, int], int] = {}
 
     def push(i: int, j: int) -> None:
-        r = table.lookup(np.array([value[i]]), np.array([value[j]]))[0]
+        pair = value[i], value[j]
+        if (r := known.get(pair)) is None:
+            r = known[pair] = int(table.lookup(np.array(pair[:1]), np.array(pair[1:]))[0])
         if r != NO_PAIR:
-            heapq.heappush(heap, (int(r), i, value[i], value[j]))
+            heapq.heappush(heap, (r, i, *pair))
 
     while heap:
         r, i, a, b = heapq.heappop(heap)
