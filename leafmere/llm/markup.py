@@ -275,6 +275,21 @@ def has_markup(text: str) -> bool:
     return bool(some) and bool(trees()[1].predict(block_features(lines, signs, some)[0]).any())
 
 
+def convertible(lines: list[str]) -> list[bool]:
+    """Whether each block holds source that is to be converted: indented code stays as it is, but for tags, entities and
+    commands in it."""
+    out = [False] * len(lines)
+    signs = [signs_of(x) for x in lines]
+    some = [i for i, s in enumerate(signs) if s]
+    if some:
+        x = block_features(lines, signs, some)[0]
+        kind, marked = trees()
+        for i, k, m in zip(some, kind.predict(x), marked.predict(x)):
+            kept = KINDS[k] == "code" and re.match(r" {4}|\t", lines[i]) and all(SIGNS[n][0] not in ("html", "tex") for n, _, _ in signs[i])
+            out[i] = bool(m) and not kept
+    return out
+
+
 BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|body|caption|center|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|section|table|tbody|tfoot|thead|title|tr|ul)\b[^<>]*>", re.I)
 CODE_BLOCK = re.compile(
     r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(?P<pre>.*?)(?:</code>\s*)?</pre>|<syntaxhighlight\b[^<>]*>(?P<wiki>.*?)</syntaxhighlight>"
@@ -300,8 +315,7 @@ def plain_math(tex: str) -> str:
 def clean(text: str) -> str:
     """The text without markup source, its headings, lists, code blocks, formulas and tables kept."""
     text = re.sub(r"\r\n?", "\n", text)
-    # Indented code stays as it is, but for tags, entities and commands in it.
-    verdicts = iter([m and not (k == "code" and re.match(r" {4}|\t", x) and all(SIGNS[n][0] not in ("html", "tex") for n, _, _ in signs_of(x))) for k, m, x in classified(text)])
+    verdicts = iter(convertible(blocks(text)))
     ends = re.split(r"([\n\x0b\x0c\x85\u2028\u2029])", text)
     clear = [bool(x.strip()) and not next(verdicts) for x in ends[::2]]
     if not any(x.strip() and not c for x, c in zip(ends[::2], clear)):
