@@ -169,7 +169,7 @@ class Plan:
         return np.take_along_axis(keys, order, 1)
 
     @staticmethod
-    def for_nearest(vectors: int, dim: int, k: int, recall: float = 0.86, bucket: int = 4) -> Plan:
+    def for_nearest(vectors: int, dim: int, k: int, recall: float = 0.9, bucket: int = 4) -> Plan:
         """Tables and probes that find the k-th nearest of so many vectors with this probability if they lie at random, the
         hardest case: its cosine is then the k / vectors quantile of random ones. Closer neighbours are found more surely."""
         share = min(0.5, max(k, 1) / max(vectors, 2))
@@ -525,7 +525,7 @@ def probed_cells(vectors: DataFrame, kept: DataFrame, asked: DataFrame, k: int,
     return found, max(p.tables for p, _ in plans.values())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.86) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.9) -> DataFrame:
     """(vec_id, rank, neighbour, cosine): the k nearest other vectors of each query vector, among all of its model.
 
     queries: a stated set of rows of ``vectors``' columns, which may be all of them. Only vectors of probed buckets are
@@ -543,7 +543,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias("vec_id"), "rank", F.col("id").alias("neighbour"), "cosine")
 
 
-def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.86) -> DataFrame:
+def compared(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.9) -> DataFrame:
     """(vec_id, compared): how many entries nearest() compares with each query, one that is met in two tables counted twice."""
     found, _ = probed_cells(vectors, one_vector_an_id(vectors), one_vector_an_id(queries), k, recall, True)
     return found.groupBy(F.col("q").alias("vec_id")).agg(F.sum("near").cast("bigint").alias("compared"))
